@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import components, format_copies, repetition, survivor, term_counts
+from loomgraph.llm import components, format_copies, leakage, repetition, survivor, term_counts
 from loomgraph.plans.frames import table as t
 
 QUERIES = {
@@ -11,5 +11,6 @@ QUERIES = {
     "p3_found": lambda s, d: components.found(t(s, d, "alias_groups"), t(s, d, "merge_map")),
     "p5_found": lambda s, d: term_counts.found(t(s, d, "candidate")),
     "p6_found": lambda s, d: format_copies.found(t(s, d, "relations"), t(s, d, "relation_spec")),
+    "p8_found": lambda s, d: leakage.found(t(s, d, "documents"), t(s, d, "held_out")),
 }
 ORACLE = {}
