@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import components, format_copies, leakage, repetition, survivor, term_counts
+from loomgraph.llm import components, format_copies, leakage, repetition, subjects, survivor, term_counts
 from loomgraph.plans.frames import table as t
 
 QUERIES = {
@@ -12,5 +12,6 @@ QUERIES = {
     "p5_found": lambda s, d: term_counts.found(t(s, d, "candidate")),
     "p6_found": lambda s, d: format_copies.found(t(s, d, "relations"), t(s, d, "relation_spec")),
     "p8_found": lambda s, d: leakage.found(t(s, d, "documents"), t(s, d, "held_out")),
+    "p9_found": lambda s, d: subjects.found(t(s, d, "documents"), t(s, d, "held_out"), labels=t(s, d, "subject_labels"), areas=t(s, d, "subject_area")),
 }
 ORACLE = {}
