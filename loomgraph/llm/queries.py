@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import components, format_copies, leakage, repetition, subjects, survivor, term_counts
+from loomgraph.llm import components, format_copies, leakage, name_variants, packing, repetition, subjects, survivor, term_counts
 from loomgraph.plans.frames import table as t
 
 QUERIES = {
     "p1_found": lambda s, d: repetition.found(t(s, d, "relations")),
     "p2_found": lambda s, d: survivor.found(t(s, d, "relations")),
     "p3_found": lambda s, d: components.found(t(s, d, "alias_groups"), t(s, d, "merge_map")),
+    "p4_found": lambda s, d: name_variants.found(t(s, d, "relations"), t(s, d, "new_entities"), t(s, d, "entity")),
     "p5_found": lambda s, d: term_counts.found(t(s, d, "candidate")),
     "p6_found": lambda s, d: format_copies.found(t(s, d, "relations"), t(s, d, "relation_spec")),
+    "p7_prompts_2048": lambda s, d: packing.packed(t(s, d, "documents"), 2048),
+    "p7_prompts_8192": lambda s, d: packing.packed(t(s, d, "documents"), 8192),
     "p8_found": lambda s, d: leakage.found(t(s, d, "documents"), t(s, d, "held_out")),
     "p9_found": lambda s, d: subjects.found(t(s, d, "documents"), t(s, d, "held_out"), labels=t(s, d, "subject_labels"), areas=t(s, d, "subject_area")),
 }
