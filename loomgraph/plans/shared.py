@@ -34,7 +34,7 @@ class _Restored:
     def value(self):
         c = worker_cache()
         if self._key not in c:
-            for old in [k for k in c if k.startswith("shared-")][:-3]:
+            for old in [k for k in c if isinstance(k, str) and k.startswith("shared-")][:-3]:
                 del c[old]
             c[self._key] = pickle.loads(self._b.value)
         return c[self._key]
