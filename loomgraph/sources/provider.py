@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _CLOSERS = ('"}]}', "}]}", "]}", "}", '"]}')
 
@@ -65,7 +66,7 @@ def salvage(text: str | None, most: int = 40) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def salvaged(text: pd.Series) -> pd.Series:
     return text.map(salvage)
 
