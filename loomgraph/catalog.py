@@ -1066,9 +1066,10 @@ def run_catalog(s, d):
     return files.primary_runs(r)
 
 
-@query(ORACLE["pack_chapters"].replace("SELECT book, format(", "SELECT book, pack_id AS pack FROM (SELECT book, format(") + ") z WHERE NOT EXISTS (SELECT 1 FROM relations r WHERE r.book = z.book AND r.pack = z.pack_id)")
+@query(ORACLE["pack_chapters"].replace("SELECT book, format(", "SELECT book, pack_id AS pack FROM (SELECT book, format(") + ") z WHERE NOT EXISTS (SELECT 1 FROM relations r WHERE r.book = z.book AND r.pack = z.pack_id AND r.round = 2)")
 def resume_pending_packs(s, d):
-    return files.pending(pack_chapters(s, d).select("book", F.col("pack_id").alias("pack")), _relations(s, d))
+    """Packs that have had no second round."""
+    return files.pending(pack_chapters(s, d).select("book", F.col("pack_id").alias("pack")), _relations(s, d).where("round = 2"))
 
 
 _KEY_SQL = "sha256('m1' || chr(10) || {})"
