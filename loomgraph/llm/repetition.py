@@ -22,6 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomgraph.functions.text import bare
 from loomgraph.plans.frames import cut
@@ -97,7 +98,7 @@ def scan_assertions(relations: DataFrame, stretch: int = STRETCH, share: float =
     return rows.mapInArrow(_scan(stretch, share), schema)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _stream_ratio(digests: pd.Series) -> pd.Series:
     import zstandard
 
