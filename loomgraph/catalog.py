@@ -126,7 +126,7 @@ def filter_fallback_split(s, d):
 # Prescan ------------------------------------------------------------------------------------------------------------------------
 
 _STOP = ", ".join(f"'{w}'" for w in prescan.STOP)
-_DIALOGUE = f"SELECT name, count(*) AS freq FROM (SELECT unnest(regexp_extract_all(text, '{prescan.DIALOGUE.replace('龥', '龥')}', 1)) AS name FROM documents) x WHERE name <> '' AND name NOT IN ({_STOP}) AND NOT regexp_matches(name, '{prescan.GENERIC_SUFFIX}') GROUP BY name"
+_DIALOGUE = f"SELECT name, count(*) AS freq FROM (SELECT unnest(regexp_extract_all(text, '{prescan.DIALOGUE}', 1)) AS name FROM documents) x WHERE name <> '' AND name NOT IN ({_STOP}) AND NOT regexp_matches(name, '{prescan.GENERIC_SUFFIX}') GROUP BY name"
 _NAMING = f"SELECT name, count(*) AS freq FROM (SELECT unnest(regexp_extract_all(evidence, '{prescan.NAMING}', 1)) AS name FROM relations) x WHERE length(name) >= 2 AND name NOT IN ({_STOP}) GROUP BY name"
 _TAGGED = "SELECT name, count(*) AS freq FROM (SELECT unnest(regexp_extract_all({c}, '" + prescan.TAGGED + "', 0)) AS name FROM documents) x GROUP BY name"
 
@@ -1101,3 +1101,19 @@ def json_salvage(s, d):
     """Answers cut off after a part of their length, and fenced ones, brought back to JSON."""
     cut = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).when(F.col("event_id") % 3 == 1, F.expr("substring(props, 1, length(props) - 1)")).otherwise(F.col("props"))
     return _events(s, d).select("event_id", provider.salvaged(cut).alias("json"))
+
+
+# The whole chain ----------------------------------------------------------------------------------------------------------------
+
+
+def replay(s: SparkSession, d: str) -> DataFrame:
+    """Validate, aggregate, review, repair, infer and evaluate everything: the chain that the published replay figure is of."""
+    from loomgraph.plans.pipeline import Pipeline
+
+    p = Pipeline(_relations(s, d), table(s, d, "entity"), table(s, d, "relation_spec"), merge_map=table(s, d, "merge_map"))
+    p.proposals = _relations(s, d).where("round = 2").select(F.col("assertion_id").alias("id"), "book", "head", strip_all(F.col("relation")).alias("relation"), "tail", F.col("evidence").alias("reason"))
+    p.verdicts = _verdicts(p.candidates())
+    return p.metrics(_gold(s, d), _gold_alias(s, d))
+
+
+QUERIES["replay"] = replay

@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 from loomgraph.functions.text import strip_all
 from loomgraph.plans.shared import Shared
 
-#: Words that are no names (own list).
-STOP = ("这个 那个 什么 怎么 如今 今日 一个 两个 咱们 我们 你们 他们 自己 众人 大家 如此 这里 那里 说话 只见 不知 不过 只是 于是 此时 原来 果然 却说 且说 "
-        "老爷 太太 姑娘 小姐 丫头 婆子 媳妇 哥哥 弟弟 兄弟 父亲 母亲 儿子 女儿 夫人 先生 公子 娘子 老仆 那汉子").split()
+# Words that are no names, endings of groups, and function characters that no name holds.
+STOP = """
+这个 那个 什么 怎么 如今 今日 一个 两个 咱们 我们 你们 他们 自己 众人 大家 如此 这里 那里 说话 只见 只得
+不知 不过 只是 所以 因此 于是 然后 这样 那样 一面 一时 一回 此时 当下 原来 果然 却说 且说 话说 下回分解
+老爷 太太 奶奶 姑娘 小姐 丫头 丫鬟 小厮 婆子 媳妇 姐姐 妹妹 哥哥 弟弟 兄弟 姊妹 爷爷 父亲 母亲 儿子 女儿
+夫人 先生 公子 大爷 二爷 相公 娘子 老太太 老祖宗 老人家 婶子 姨妈 舅舅 姑妈 嫂子
+""".split()
 GENERIC_SUFFIX = "(?:们|等|辈)$"
-#: Function characters: an n-gram with one is no name (own list).
 FUNCTION = "了的不也是去来道说着就这那我你他她它们之乎者与和把被在有无没很都又再还只便即因此其"
 #: Speaker before a verb of saying and a colon.
 DIALOGUE = "([一-龥]{2,4})(?:笑|冷笑|叹|忙|便|又|只)?(?:问道|说道|答道|道)："
