@@ -145,3 +145,8 @@ def found(alias_groups: DataFrame, merge_map: DataFrame, **how) -> DataFrame:
     c = components(match_edges(alias_groups, merge_map), **how)
     part = lambda v, i: F.split(v, _SEP, 2)[i]
     return c.select(part("v", 0).alias("book"), part("v", 1).alias("name"), part("root", 1).alias("group_name"))
+
+
+def group_sizes(alias_groups: DataFrame, merge_map: DataFrame) -> DataFrame:
+    """(book, group_name, names)."""
+    return found(alias_groups, merge_map).groupBy("book", "group_name").agg(F.count("*").alias("names"))

@@ -18,6 +18,14 @@ QUERIES = {
     "p7_prompts_8192": lambda s, d: packing.packed(t(s, d, "documents"), 8192),
     "p8_found": lambda s, d: leakage.found(t(s, d, "documents"), t(s, d, "held_out")),
     "p9_found": lambda s, d: subjects.found(t(s, d, "documents"), t(s, d, "held_out"), labels=t(s, d, "subject_labels"), areas=t(s, d, "subject_area")),
+    "p1_shares": lambda s, d: repetition.shares(t(s, d, "relations")),
+    "p2_golden_edges": lambda s, d: survivor.golden_edges(t(s, d, "relations")),
+    "p3_group_sizes": lambda s, d: components.group_sizes(t(s, d, "alias_groups"), t(s, d, "merge_map")),
+    "p5_terms": lambda s, d: term_counts.marked(t(s, d, "candidate")),
+    "p6_collapsed": lambda s, d: format_copies.collapsed(t(s, d, "relations"), t(s, d, "relation_spec")),
+    "p7_fill": lambda s, d: packing.quality(packing.packed(t(s, d, "documents"), 2048), 2048),
+    "p8_items": lambda s, d: leakage.leaked_items(t(s, d, "documents"), t(s, d, "held_out")),
+    "p9_make_up": lambda s, d: subjects.make_up(t(s, d, "documents"), t(s, d, "held_out"), labels=t(s, d, "subject_labels"), areas=t(s, d, "subject_area")),
 }
 
 
@@ -54,3 +62,12 @@ k AS (SELECT assertion_id, book, r, e, CASE WHEN s.n IS NOT NULL THEN least(h, t
   FROM c LEFT JOIN (SELECT DISTINCT {_bare("name")} AS n FROM relation_spec WHERE "symmetric") s ON s.n = c.r WHERE h IS NOT NULL AND r IS NOT NULL AND t IS NOT NULL AND e <> '')
 SELECT first_id, assertion_id AS copy_id FROM (SELECT assertion_id, min(assertion_id) OVER (PARTITION BY book, r, e, x, y) AS first_id FROM k) z WHERE first_id <> assertion_id""",
 }
+
+_SURVIVORS = ORACLE["p2_found"].replace("SELECT edge_id, evidence_from, chapters_from FROM g WHERE", "s AS (SELECT * FROM g WHERE").rstrip() + ")"
+ORACLE["p2_golden_edges"] = f"""{_SURVIVORS.replace("evidence_from, arg_max", "evidence_from, arg_max").replace("FROM r GROUP BY edge_id)", "FROM r GROUP BY edge_id),", 1)}
+SELECT s.edge_id, e.head, e.relation, e.tail, e.evidence, {strip("e.evidence_src")} AS evidence_src, s.evidence_from,
+  array_to_string(list_sort(list_distinct(list_filter(c.chapters, lambda x: x > 0))), ',') AS chapters, s.chapters_from, s.k AS merged
+FROM s JOIN relations e ON e.assertion_id = s.evidence_from JOIN relations c ON c.assertion_id = s.chapters_from"""
+ORACLE["p3_group_sizes"] = f"SELECT book, group_name, count(*) AS names FROM ({ORACLE['p3_found']}) x GROUP BY 1, 2"
+ORACLE["p5_terms"] = ORACLE["p5_found"].partition("SELECT name, 'rare'")[0] + "SELECT name, CAST(occurrences AS BIGINT) AS occurrences, records, occurrences < 3 AS rare, records > 0.1 * total AS common FROM g, t"
+ORACLE["p6_collapsed"] = ORACLE["p6_found"].partition("SELECT first_id, assertion_id AS copy_id")[0] + "SELECT min(assertion_id) AS assertion_id, count(*) AS copies FROM k GROUP BY book, r, e, x, y"
