@@ -826,12 +826,7 @@ _LAYERS = {"text": ("text",), "text+model": ("text", "model"), "all": ("text", "
 
 @query(_EVAL + " " + " UNION ALL ".join(_layer_sql(n, ", ".join(f"'{x}'" for x in xs)) for n, xs in _LAYERS.items()))
 def eval_layers(s, d):
-    g, v, t = _gold(s, d), cut(_gold_variants(s, d)), cut(_triples(s, d))
-    out = None
-    for n, xs in _LAYERS.items():
-        one = evaluate.scores(g, v, t.where(F.col("source").isin(*xs)), n)
-        out = one if out is None else out.unionByName(one)
-    return out
+    return evaluate.layer_scores(_gold(s, d), cut(_gold_variants(s, d)), cut(_triples(s, d)), _LAYERS)
 
 
 def _judged_gold(s, d):

@@ -46,14 +46,28 @@ def hits(gold: DataFrame, all_variants: DataFrame, predicted: DataFrame) -> Data
     return gold.join(h, "gold_id", "left").withColumn("hit", F.coalesce("_h", F.lit(False))).drop("_h")
 
 
-def scores(gold: DataFrame, all_variants: DataFrame, predicted: DataFrame, layers: str) -> DataFrame:
-    """One row (layers, pred, gold, hit, precision, recall, f1): predictions are a set, gold is a bag."""
-    p = predicted.select(*KEY).distinct()
-    tp = p.join(all_variants.select(*KEY).distinct(), list(KEY), "left_semi").agg(F.count("*").alias("tp"))
-    r = p.agg(F.count("*").alias("pred")).join(tp).join(hits(gold, all_variants, predicted).agg(F.count("*").alias("gold"), F.count_if("hit").alias("hit")))
+def layer_scores(gold: DataFrame, all_variants: DataFrame, triples: DataFrame, layers: dict[str, tuple[str, ...]]) -> DataFrame:
+    """A row (layers, pred, gold, hit, precision, recall, f1) for each named set of sources: predictions are a set, gold is a bag.
+
+    All sets are scored in one pass over the triples and one over the variants.
+    """
+    names = list(layers)
+    flag = lambda i: F.max(F.col("source").isin(*layers[names[i]])).alias(f"f{i}")
+    every = range(len(names))
+    pred = triples.groupBy(*KEY).agg(*(flag(i) for i in every))
+    some = all_variants.select(*KEY).distinct().withColumn("_v", F.lit(True))
+    p = pred.join(some, list(KEY), "left").agg(*(F.count_if(f"f{i}").alias(f"p{i}") for i in every), *(F.count_if(F.col(f"f{i}") & F.col("_v")).alias(f"t{i}") for i in every))
+    h = all_variants.join(pred, list(KEY)).groupBy("gold_id").agg(*(F.max(f"f{i}").alias(f"f{i}") for i in every)).agg(*(F.count_if(f"f{i}").alias(f"h{i}") for i in every))
+    one = p.join(h).join(gold.agg(F.count("*").alias("gold")))  # one row each
+    rows = one.select("gold", F.explode(F.array(*(F.struct(F.lit(names[i]).alias("layers"), F.col(f"p{i}").alias("pred"), F.col(f"t{i}").alias("tp"), F.col(f"h{i}").alias("hit")) for i in every))).alias("x")).select("gold", "x.*")
     pr, rc = F.coalesce(F.try_divide("tp", "pred"), F.lit(0.0)), F.coalesce(F.try_divide("hit", "gold"), F.lit(0.0))
     f1 = F.coalesce(F.try_divide(2 * pr * rc, pr + rc), F.lit(0.0))
-    return r.select(F.lit(layers).alias("layers"), "pred", "gold", "hit", F.round(pr, 4).alias("precision"), F.round(rc, 4).alias("recall"), F.round(f1, 4).alias("f1"))
+    return rows.select("layers", "pred", "gold", "hit", F.round(pr, 4).alias("precision"), F.round(rc, 4).alias("recall"), F.round(f1, 4).alias("f1"))
+
+
+def scores(gold: DataFrame, all_variants: DataFrame, predicted: DataFrame, name: str) -> DataFrame:
+    """The same of one set of predictions."""
+    return layer_scores(gold, all_variants, predicted.select(*KEY, F.lit("x").alias("source")), {name: ("x",)})
 
 
 def by_relation(judged: DataFrame) -> DataFrame:

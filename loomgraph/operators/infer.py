@@ -45,10 +45,10 @@ DERIVED_SYMMETRIC = ("世交",)
 
 
 def both_ways(facts: DataFrame, symmetric: list[str]) -> DataFrame:
-    """Facts and the reverse of the symmetric ones."""
-    back = facts.where(F.col("relation").isin(symmetric))
+    """Facts and the reverse of the symmetric ones.  Facts are canonical and distinct, so that nothing comes twice and nothing need be shuffled."""
+    back = facts.where(F.col("relation").isin(symmetric) & (F.col("head") != F.col("tail")))
     back = back.select(*[F.col("tail").alias("head") if c == "head" else F.col("head").alias("tail") if c == "tail" else F.col(c) for c in facts.columns])
-    return facts.unionByName(back).distinct()
+    return facts.unionByName(back)
 
 
 def dominant(facts: DataFrame, relations: list[str]) -> DataFrame:
@@ -107,12 +107,17 @@ def conclude(rule: Rule, facts: DataFrame, known: DataFrame, base: DataFrame, sy
 def infer(edges: DataFrame, symmetric: list[str], rules: tuple[Rule, ...] = RULES, rounds: int = 3) -> DataFrame:
     """(book, head, relation, tail, rule, support, round) of everything the rules add to the edges (book, head, relation, tail, votes)."""
     symmetric = [*symmetric, *DERIVED_SYMMETRIC]
-    base = cut(edges.select(*KEY, F.col("votes").cast("long").alias("votes")))
-    facts, added = base, None
+    base = edges.select(*KEY, F.col("votes").cast("long").alias("votes"))
+    base = base if hasattr(edges, "_cut_path") else cut(base)
+    facts, added, grown = base, None, None
     for n in range(1, rounds + 1):
-        snapshot = cut(both_ways(facts, symmetric))
+        # A rule whose premises' relations have not grown concludes nothing new: what it is denied by only grows too.
+        due = [r for r in rules if grown is None or any(x in grown for p in r.premises for x in p[1].split("|"))]
+        if not due:
+            break
+        snapshot = both_ways(facts, symmetric)
         fresh: list[tuple[str, DataFrame]] = []
-        for rule in rules:
+        for rule in due:
             # Of this round's additions a rule sees those of its own conclusion's relation and of the one it is denied by.
             known = snapshot.select(*KEY)
             for relation, one in fresh:
@@ -123,7 +128,8 @@ def infer(edges: DataFrame, symmetric: list[str], rules: tuple[Rule, ...] = RULE
         for _, one in fresh[1:]:
             every = every.unionByName(one)
         every = cut(every.withColumn("round", F.lit(n)))
-        if not every.limit(1).count():
+        grown = {r[0] for r in every.select("relation").distinct().collect()}  # at most one for each rule
+        if not grown:
             break
         added = every if added is None else added.unionByName(every)
         facts = facts.unionByName(every.select(*KEY, F.lit(1).cast("long").alias("votes")))

@@ -72,11 +72,12 @@ def quote_checks(checked: DataFrame, packs: DataFrame, forms: DataFrame) -> Data
     """All rows with ``grounded`` (the quotation stands in the pack, white space aside) and ``both_named``, null where a cheap check failed; those that fail
     one of the two carry the name forms of their ends, ``hn`` and ``tn``."""
     f = lambda x, n: forms.select("book", F.col("canon").alias(x), F.col("names").alias(n))
-    q = checked.join(packs, ["book", "pack"], "left").join(f("h", "hn"), ["book", "h"], "left").join(f("t", "tn"), ["book", "t"], "left")
+    norm = packs.select("book", "pack", squeeze(F.col("text")).alias("norm"))  # once for each pack, not for each row
+    q = checked.join(norm, ["book", "pack"], "left").join(f("h", "hn"), ["book", "h"], "left").join(f("t", "tn"), ["book", "t"], "left")
     valid = F.col("reason").isNull()
     q = q.withColumns(
         {
-            "grounded": F.when(valid, F.coalesce(F.contains(squeeze(F.col("text")), squeeze(F.col("ev"))), F.lit(False))),
+            "grounded": F.when(valid, F.coalesce(F.contains(F.col("norm"), squeeze(F.col("ev"))), F.lit(False))),
             "both_named": F.when(valid, F.coalesce(mentions(F.col("hn"), F.col("ev")) & mentions(F.col("tn"), F.col("ev")), F.lit(False))),
         }
     )

@@ -52,7 +52,7 @@ class Pipeline:
     def judged(self) -> DataFrame:
         c = self.candidates()
         v = self.verdicts if self.verdicts is not None else c.select(*aggregate.KEY, F.lit(None).cast("boolean").alias("ok"), F.lit("").alias("kind"), F.lit("").alias("reason")).limit(0)
-        return self._once("judged", lambda: review.outcomes(c, v, self.entity, self.spec, self.config.guardrails))
+        return review.outcomes(c, v, self.entity, self.spec, self.config.guardrails)
 
     def text_layer(self) -> DataFrame:
         """Candidates after review, curation, merges and functional repair."""
@@ -88,11 +88,7 @@ class Pipeline:
         names = gold.select("book", F.explode(F.array("head", "tail")).alias("name")).unionAll(gold_alias.select("book", F.col("form").alias("name")))
         resolved = evaluate.gold_resolve(names, registry.alias_index(self.entity), registry.surnames(self.entity))
         v = cut(evaluate.variants(gold, gold_alias, resolved, self.spec))
-        out = None
-        for name, sources in LAYERS.items():
-            one = evaluate.scores(gold, v, self.triples().where(F.col("source").isin(*sources)), name)
-            out = one if out is None else out.unionByName(one)
-        return out
+        return evaluate.layer_scores(gold, v, self.triples(), LAYERS)
 
     def _once(self, stage: str, make) -> DataFrame:
         done = self.__dict__.setdefault("_done", {})
