@@ -129,21 +129,34 @@ def _count(shared) -> object:
 
 
 def passages(ip: np.ndarray, dp: np.ndarray, k: int) -> list[list[int]]:
-    """Passages [item from, item to, document from, document to] of equal shingles at ip, dp, of at least PASSAGE[k] characters."""
+    """Passages [item from, item to, document from, document to] of equal shingles at ip, dp, of at least PASSAGE[k] characters.
+
+    A passage is a chain of runs, each within GAP of the one before it in both texts.  Every run goes on from the farthest start that any
+    run within reach has, and stays open for others, so that a repeated phrase takes no run away from the true order.
+    """
     order = np.lexsort((ip, dp - ip))
     ip, dp = ip[order], dp[order]
     cuts = np.flatnonzero((np.diff(ip) != 1) | (np.diff(dp) != 1)) + 1
     runs = sorted(([int(ip[s]), int(ip[e - 1]) + k, int(dp[s]), int(dp[e - 1]) + k] for s, e in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(ip)]]))), key=lambda r: (r[2], r[0]))
-    out: list[list[int]] = []
     gap = GAP[k]
-    for r in runs:
-        for p in reversed(out[-6:]):
-            if -k <= r[0] - p[1] <= gap and -k <= r[2] - p[3] <= gap and r[1] > p[1]:
-                p[1], p[3] = r[1], max(p[3], r[3])
-                break
-        else:
-            out.append(list(r))
-    return [p for p in out if p[1] - p[0] >= PASSAGE[k]]
+    width = gap + k + 1
+    within: dict[int, list[int]] = {}  # open runs by the place of their end in the item
+    start: list[tuple[int, int]] = []  # of the chain that ends with the run
+    last = [True] * len(runs)
+    for n, (i0, i1, d0, d1) in enumerate(runs):
+        best, before = (i0, d0), -1
+        for w in range((i0 - gap) // width, (i0 + k) // width + 1):
+            if not (near := within.get(w)):
+                continue
+            near[:] = [p for p in near if runs[p][3] >= d0 - gap]  # what ended earlier is out of reach of all later runs too
+            for p in near:
+                if i0 - gap <= runs[p][1] <= i0 + k and runs[p][3] <= d0 + k and i1 > runs[p][1] and start[p] < best:
+                    best, before = start[p], p
+        if before >= 0:
+            last[before] = False
+        start.append(best)
+        within.setdefault(i1 // width, []).append(n)
+    return [[i, runs[n][1], d, runs[n][3]] for n, (i, d) in enumerate(start) if last[n] and runs[n][1] - i >= PASSAGE[k]]
 
 
 def matches(b: Batch, x: Items, half: float = HALF) -> Iterator[tuple[int, int, float, list[list[int]]]]:

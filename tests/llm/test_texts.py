@@ -144,6 +144,29 @@ def test_no_leak_is_lost_against_brute_force(spark):
     assert got == sure
 
 
+def english(rnd, n):
+    return "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+
+
+def typed(rnd, t, every):
+    return "".join(rnd.choice("0123456789") if i % every == every // 2 else c for i, c in enumerate(t))
+
+
+def leak_share(item, doc):
+    x = leakage.index([(1, item)])
+    b = shingles.Batch([doc])
+    x.order({k: np.ones(len(v.values), np.int64) for k, v in x.lookup.items()})
+    return next((share for _, _, share, _ in leakage.matches(b, x)), 0.0)
+
+
+def test_a_repeated_phrase_hides_no_passage():
+    rnd = random.Random(21)
+    for every in (25, 30):
+        refrain = english(rnd, 18)
+        item = "".join(english(rnd, 30) + refrain for _ in range(10))
+        assert leak_share(item, english(rnd, 200) + typed(rnd, item, every) + english(rnd, 200)) > 0.95
+
+
 # 9 --------------------------------------------------------------------------------------------------------------------------------
 
 
