@@ -2,13 +2,12 @@
 
 Prefix-filtered set join of test items and documents.  The items are the stated query set: they are read in blocks of a bounded size,
 and each block, shared with the executors, meets every document's whole text; a pass over the corpus first counts in how many documents
-each of the block's shingles stands.  Shingles are ordered by that rarity.  A document that holds a share ``overlap`` of an item's n
-shingles must hold one of its ``n - ceil(overlap * n) + 1`` rarest, so that only those (never the phrases common to many documents)
-bring up candidates; the length bound (a document shorter than the part asked for) and the positional bound (what can still follow the
-first match in rarity order) reject most of them.  What remains is verified exactly: runs of equal shingles on one diagonal of item and
-document, joined over small gaps into passages inside item-sized windows; passages of a least length count, in any order.
-
-``overlap`` is lower than the half of the wording that decides, since a changed letter breaks K shingles.
+each of the block's shingles stands.  A pair counts if passages (runs of equal shingles, joined over small gaps, of a least length, in any
+order) cover ``half`` of the item's wording.  Each place of the item with a shared shingle covers at most K + GAP characters, so that a
+pair must share a number of places that follows from ``half`` (``Items.need``): shingles are ordered by rarity, and a document without any
+of the rarest ones, up to those whose places with all more common ones are too few, can't hold it.  Of pairs brought up so, those whose
+shared places can't cover enough are rejected by that bound; the rest is verified exactly over the whole document.  No pair that the
+verification accepts is filtered out, however dense the typing changes.
 
 Defined cases: null and empty texts (or texts shorter than a shingle) match nothing; items that are null, blank or shorter than a
 shingle have no case; repeated items and repeated documents are reported each; a document of any length is scanned whole.  Empty tables
@@ -30,7 +29,7 @@ from loomgraph.plans.shared import Shared
 
 #: Characters of items in one block.
 BLOCK_CHARS = 8_000_000
-HALF, OVERLAP = 0.5, 0.25
+HALF = 0.5
 #: By shingle length: least characters of a passage, largest gap within one.
 PASSAGE, GAP = {K_HAN: 12, K_OTHER: 30}, {K_HAN: 6, K_OTHER: 14}
 #: Texts of one numpy batch hold about so many characters together.
@@ -44,37 +43,33 @@ class Items:
     ids: np.ndarray
     size: np.ndarray  # characters of each item
     k: np.ndarray
-    need: np.ndarray  # shingles a document must share
+    need: np.ndarray  # places whose shingles a document must share
     lookup: dict[int, Lookup]
     first: dict[int, np.ndarray]  # postings of shingle j: first[j] .. first[j + 1]
     item: dict[int, np.ndarray]
     place: dict[int, np.ndarray]
-    rank: dict[int, np.ndarray]  # place of each posting's shingle in its item's order of rarity
-    prefix: dict[int, np.ndarray]
+    prefix: dict[int, np.ndarray]  # whether a posting's shingle brings up candidates
 
-    def order(self, counts: dict[int, np.ndarray], overlap: float = OVERLAP) -> None:
-        """Ranks the shingles of each item by their number of documents and marks the prefixes."""
-        self.need = np.zeros(len(self.ids), np.int64)
+    def order(self, counts: dict[int, np.ndarray], half: float = HALF) -> None:
+        """Orders the shingles of each item by their number of documents and marks the prefixes."""
         for k in self.lookup:
+            own = self.k == k
+            self.need[own] = np.maximum(1, np.ceil((half * self.size[own] - k) / (k + GAP[k]) - 1e-9) + 1)
             j = np.repeat(np.arange(len(self.first[k]) - 1), np.diff(self.first[k]))
-            self.rank[k] = np.zeros(len(j), np.int64)
             self.prefix[k] = np.zeros(len(j), bool)
             by = np.lexsort((j, counts[k][j], self.item[k]))
-            it = self.item[k][by]
-            for i in np.unique(it):
-                own = by[np.searchsorted(it, i) : np.searchsorted(it, i, "right")]
-                distinct, inverse = np.unique(np.stack([counts[k][j[own]], j[own]]), axis=1, return_inverse=True)
-                n = distinct.shape[1]
-                self.need[i] = int(np.ceil(overlap * n))
-                self.rank[k][own] = inverse.ravel()
-                self.prefix[k][own] = inverse.ravel() <= n - self.need[i]
+            it, j = self.item[k][by], j[by]
+            fresh = np.concatenate([[True], (np.diff(it) != 0) | (np.diff(j) != 0)])[: len(by)]
+            start = np.maximum.accumulate(np.where(fresh, np.arange(len(by)), 0))
+            # Places of the shingle and of all more common ones: fewer than needed can't make a case alone.
+            self.prefix[k][by] = np.searchsorted(it, it, "right") - start >= self.need[it]
 
 
 def index(rows: list[tuple[int, str]]) -> Items:
     b = Batch([t for _, t in rows])
     h = b.hashes()
     ks = np.array([k_of(b.chars[b.start[i] : b.start[i + 1]]) for i in range(len(rows))] or [], np.int64)
-    x = Items(np.array([i for i, _ in rows], np.int64), np.diff(b.start), ks, np.zeros(len(rows), np.int64), {}, {}, {}, {}, {}, {})
+    x = Items(np.array([i for i, _ in rows], np.int64), np.diff(b.start), ks, np.zeros(len(rows), np.int64), {}, {}, {}, {}, {})
     for k in (K_HAN, K_OTHER):
         at = np.flatnonzero((ks[b.doc] == k) & (h[k] != 0)) if len(b.doc) else np.zeros(0, np.int64)
         at = at[np.argsort(h[k][at], kind="stable")]
@@ -161,7 +156,6 @@ def passages(ip: np.ndarray, dp: np.ndarray, k: int) -> list[list[int]]:
 
 def matches(b: Batch, x: Items, half: float = HALF) -> Iterator[tuple[int, int, float, list[list[int]]]]:
     """(number of the text, number of the item, share of the item's wording, passages) of all pairs with at least ``half``."""
-    lengths = np.diff(b.start)
     for k, h in b.hashes().items():
         at, j = x.lookup[k].find(h)
         if not len(at):
@@ -170,18 +164,25 @@ def matches(b: Batch, x: Items, half: float = HALF) -> Iterator[tuple[int, int,
         post = np.repeat(x.first[k][j] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         where = np.repeat(at, n)
         pair = b.doc[where] * len(x.ids) + x.item[k][post]
-        # Candidates: a prefix shingle in common, and length enough.
-        up = np.unique(pair[x.prefix[k][post]])
-        up = up[lengths[up // len(x.ids)] >= half * 0.8 * x.size[up % len(x.ids)]]
-        mine = np.isin(pair, up)
+        # Candidates: a prefix shingle in common, and hits enough.
+        up, own, hits = np.unique(pair, return_inverse=True, return_counts=True)
+        ok = np.zeros(len(up), bool)
+        ok[own[x.prefix[k][post]]] = True
+        ok &= hits >= x.need[up % len(x.ids)]
+        mine = ok[own]
         pair, post, where = pair[mine], post[mine], where[mine]
-        by = np.argsort(pair, kind="stable")
+        if not len(pair):
+            continue
+        by = np.lexsort((x.place[k][post], pair))
         pair, post, where = pair[by], post[by], where[by]
-        starts = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else []
-        for s, e in zip(starts, [*starts[1:], len(pair)]):
+        starts = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+        # The most that the shared places can cover: each its shingle and a gap, up to the next place.
+        reach = np.minimum(np.diff(x.place[k][post], append=0), k + GAP[k])
+        reach[np.append(starts[1:], len(pair)) - 1] = k
+        most = np.add.reduceat(reach, starts)
+        for s, e, c in zip(starts, [*starts[1:], len(pair)], most):
             d, i = divmod(int(pair[s]), len(x.ids))
-            ranks = np.unique(x.rank[k][post[s:e]])
-            if len(ranks) < x.need[i]:  # in order of rarity the first match left too few places for the overlap asked for
+            if c < half * x.size[i] - 1e-6:
                 continue
             got = passages(x.place[k][post[s:e]], where[s:e] - b.start[d], k)
             covered = np.zeros(x.size[i], bool)
@@ -201,7 +202,7 @@ def _join(shared, half: float) -> object:
     return run
 
 
-def leaks(documents: DataFrame, items: DataFrame, half: float = HALF, overlap: float = OVERLAP, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, half: float = HALF, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, share, passages) of every document that holds at least ``half`` of an item's wording."""
     spark = documents.sparkSession
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
@@ -214,7 +215,7 @@ def leaks(documents: DataFrame, items: DataFrame, half: float = HALF, overlap: f
         counted = texts.mapInArrow(_count(shared), "k int, j long, n long").groupBy("k", "j").agg(F.sum("n").alias("n"))
         for r in counted.toLocalIterator():  # a count for each shingle of the block
             counts[r.k][r.j] = r.n
-        x.order(counts, overlap)
+        x.order(counts, half)
         shared = Shared(spark, x)
         one = texts.mapInArrow(_join(shared, half), schema)
         out = one if out is None else out.unionAll(one)

@@ -167,6 +167,37 @@ def test_a_repeated_phrase_hides_no_passage():
         assert leak_share(item, english(rnd, 200) + typed(rnd, item, every) + english(rnd, 200)) > 0.95
 
 
+def accepted(item, doc):
+    """Share by the exact verification alone, of all equal shingles."""
+    b = shingles.Batch([item, doc])
+    k = shingles.k_of(b.chars[: b.start[1]])
+    h = b.hashes()[k]
+    at = {}
+    for p, x in enumerate(h[: b.start[1]].tolist()):
+        if x:
+            at.setdefault(x, []).append(p)
+    both = [(p, q) for q, x in enumerate(h[b.start[1] :].tolist()) for p in at.get(x, ())]
+    covered = np.zeros(b.start[1], bool)
+    for p in leakage.passages(np.array([p for p, _ in both]), np.array([q for _, q in both]), k) if both else []:
+        covered[p[0] : p[1]] = True
+    return covered.mean()
+
+
+def test_no_accepted_pair_is_filtered_with_dense_typing_changes(spark):
+    rnd = random.Random(22)
+    word = english(rnd, 14)
+    items = [(i, english(rnd, 320) if i < 6 else word * 20 if i == 6 else novel(rnd, 120)) for i in range(10)]
+    docs = []
+    for every in (7, 8, 9, 11, 14, 15, 18, 20, 24, 40):
+        for _, t in items:
+            n = int(len(t) * rnd.choice([0.52, 0.62, 0.8, 1]))
+            docs.append((len(docs), english(rnd, 50) + typed(rnd, t[:n], every) + novel(rnd, 50)))
+    docs.append((len(docs), word * 3))  # one short copy covers a repeated phrase
+    want = {(d, i) for d, t in docs for i, x in items if accepted(x, t) >= leakage.HALF}
+    got = {tuple(r) for r in leakage.found(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want and any(i < 6 and d // 10 in (4, 5) for d, i in want) and (len(docs) - 1, 6) in want
+
+
 # 9 --------------------------------------------------------------------------------------------------------------------------------
 
 
