@@ -1,12 +1,13 @@
 """Problem 1: repetition inside a single document.
 
 Compression bands: the bare text of each evidence is compressed (zstandard) as a whole and in fixed chunks; a ratio below the limit of
-its length makes it a candidate, and the exact share of characters in stretches already seen decides.  A response is compressed as
-the stream of its rows' fingerprints in blocks of its places; repeated rows are all that such a stream can be compressed by.
+its length makes it a candidate, and the exact share of characters in stretches already seen decides.  The repeated rows of a response
+are counted exactly by their fingerprints, for responses of any size: a compressor skips ahead in a stream of fingerprints and misses
+repeats, so that its ratio can't tell.
 
-The limits are loose on purpose: a text with at least 40 % of its characters in repeated stretches of 8 or more compresses to at most
+The limit is loose on purpose: a text with at least 40 % of its characters in repeated stretches of 8 or more compresses to at most
 its other 60 % plus a match record per stretch, ``0.75 * bytes + 24``; a ratio above that can't be a case.  Texts beyond the
-compressor's window, and responses of more than one block, are candidates always.
+compressor's window are candidates always.
 
 Defined cases: null evidence and evidence without bare text have no share (null) and count as no row of their response; a null or
 bare-less relation repeats nothing; a null response belongs to no response, a null place comes first; equal rows are rows of their
@@ -17,12 +18,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from loomgraph.functions.text import bare
 from loomgraph.plans.frames import cut
@@ -30,8 +28,6 @@ from loomgraph.plans.frames import cut
 STRETCH, SHARE, ROWS = 8, 0.4, 20
 #: Bytes of a fixed chunk; beyond WINDOW bytes a match may lie out of the compressor's reach.
 CHUNK, WINDOW = 4096, 1 << 20
-#: Places of one block of a response.
-BLOCK = 4096
 
 
 def limit(n: int, share: float = SHARE) -> float:
@@ -98,31 +94,10 @@ def scan_assertions(relations: DataFrame, stretch: int = STRETCH, share: float =
     return rows.mapInArrow(_scan(stretch, share), schema)
 
 
-@F.pandas_udf(T.DoubleType())
-def _stream_ratio(digests: pd.Series) -> pd.Series:
-    import zstandard
-
-    z = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False, write_dict_id=False)
-    return pd.Series([len(z.compress(np.asarray(d, np.int64).tobytes())) / (8 * len(d)) if len(d) else 1.0 for d in digests])
-
-
 def scan_responses(scanned: DataFrame, rows: int = ROWS) -> DataFrame:
-    """(response_id, n, distinct_texts, ratio) of the responses with enough rows whose fingerprint stream is within the band.
-
-    A response with more than half of its n rows repeated has at most n/2 distinct fingerprints of 8 bytes, so its stream compresses to
-    4n bytes and a match record for each of at most n runs of them.  (Matches of 8 bytes take 5 at most.)
-    """
-    blocks = cut(
-        scanned.where("response_id is not null and digest is not null")
-        .groupBy("response_id", F.coalesce(F.floor((F.col("seq") - 1) / BLOCK), F.lit(-1)).alias("block"))
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "digest"))), lambda x: x["digest"]).alias("digests"))
-    )
-    rated = blocks.select("response_id", F.size("digests").alias("k"), _stream_ratio("digests").alias("q"))
-    within = rated.groupBy("response_id").agg(F.sum("k").alias("n"), F.count("*").alias("blocks"), F.min("q").alias("ratio"))
-    within = within.where((F.col("n") >= rows) & ((F.col("blocks") > 1) | (F.col("ratio") <= 0.5 + 0.5 * 5 / 8 + 24 / (8 * F.col("n")))))
-    texts = blocks.join(within.select("response_id"), "response_id", "left_semi").select("response_id", F.explode("digests").alias("d"))
-    exact = texts.groupBy("response_id", "d").agg(F.count("*").alias("k")).groupBy("response_id").agg(F.sum("k").alias("n"), F.count("*").alias("distinct_texts"))
-    return exact.join(within.select("response_id", "ratio"), "response_id")
+    """(response_id, n, distinct_texts) of the responses with enough rows."""
+    texts = scanned.where("response_id is not null and digest is not null").groupBy("response_id", "digest").agg(F.count("*").alias("k"))
+    return texts.groupBy("response_id").agg(F.sum("k").alias("n"), F.count("*").alias("distinct_texts")).where(F.col("n") >= rows)
 
 
 def found(relations: DataFrame, share: float = SHARE, rows: int = ROWS) -> DataFrame:

@@ -68,6 +68,14 @@ def test_repetition_found(spark):
     assert repetition.found(rel(spark, [])).count() == 0
 
 
+def test_shuffled_repeats_of_a_response_are_all_counted(spark):
+    rnd = random.Random(31)
+    places = list(range(1000))
+    rows = [dict(assertion_id=i, response_id=1, seq=i + 1, evidence=f"第{k}句话。") for i, k in enumerate(places + rnd.sample(places, 1000) + [7])]
+    rows += [dict(assertion_id=3000 + i, response_id=2, seq=i + 1, evidence=f"第{k}句话。") for i, k in enumerate(places + rnd.sample(places, 1000))]  # half, not more
+    assert {tuple(r) for r in repetition.found(rel(spark, rows)).collect()} == {("response", 1)}
+
+
 # 2 --------------------------------------------------------------------------------------------------------------------------------
 
 
