@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -652,8 +653,8 @@ def _additions(s, d, edges):
 
 
 @query(f"{_TEXT}, {_ADDED} SELECT {_K}, reason FROM added")
-def additions_filter(s, d):
-    return _additions(s, d, cut(_text_edges(s, d))).select(*aggregate.KEY, "reason")
+def additions_filter(s, d, of=_text_edges):
+    return _additions(s, d, cut(of(s, d))).select(*aggregate.KEY, "reason")
 
 
 # Inference ----------------------------------------------------------------------------------------------------------------------
@@ -709,13 +710,13 @@ def _rules_sql(rules, rounds: int) -> str:
 
 
 @query(f"{_TEXT} SELECT {_K} FROM cand UNION SELECT book, tail, relation, head FROM cand WHERE relation IN ('夫妻', '结拜', '同窗', '姻亲', '敌对')")
-def edges_closure_sym(s, d):
-    return infer.both_ways(_text_edges(s, d).select(*aggregate.KEY), _SYMMETRIC)
+def edges_closure_sym(s, d, of=_text_edges):
+    return infer.both_ways(of(s, d).select(*aggregate.KEY), _SYMMETRIC)
 
 
 def _one_rule(name: str, key: str, rule: infer.Rule):
-    def run(s, d):
-        return infer.infer(_text_edges(s, d), _SYMMETRIC, (rule,), 1).select(*aggregate.KEY, "support")
+    def run(s, d, of=_text_edges):
+        return infer.infer(of(s, d), _SYMMETRIC, (rule,), 1).select(*aggregate.KEY, "support")
 
     run.__name__ = name
     query(f"{_TEXT}, {_rules_sql((rule,), 1)} SELECT {_K}, support FROM inferred")(run)
@@ -731,11 +732,12 @@ _one_rule("rule_cousin_unless", "cousin", _BY_NAME["family friends"])
 
 
 @query(f"{_TEXT}, {_rules_sql(infer.RULES, 3)} SELECT {_K}, rule, support, CAST(round AS INTEGER) AS round FROM inferred")
-def infer_fixpoint(s, d):
-    return infer.infer(_text_edges(s, d), _SYMMETRIC)
+def infer_fixpoint(s, d, of=_text_edges):
+    return infer.infer(of(s, d), _SYMMETRIC)
 
 
-# The finished graph: text edges after review, the model's additions, one round of inference over the text layer --------------------
+# The graph of the SQL: edges of the first round as they were validated, the second round's additions, one round of inference ----------
+# The whole graph (all assertions, reviewed and repaired, three rounds of inference) is that of the whole_ queries at the end.
 
 _TRIPLES = f"""{_ADDED}, {_rules_sql(infer.RULES, 1)},
 triples AS (SELECT {_K}, CAST(votes AS BIGINT) AS votes, 'text' AS source, evidence FROM cand UNION ALL SELECT {_K}, 0, 'model', NULL FROM added UNION ALL SELECT {_K}, NULL, 'inferred', NULL FROM inferred)"""
@@ -752,8 +754,8 @@ def _triples(s, d):
 
 
 @query(f"{_GRAPH} SELECT {_K}, votes, source, evidence FROM triples")
-def export_triples(s, d):
-    return files.export(_triples(s, d))
+def export_triples(s, d, of=_triples):
+    return files.export(of(s, d))
 
 
 # Evaluation ---------------------------------------------------------------------------------------------------------------------
@@ -825,42 +827,42 @@ _LAYERS = {"text": ("text",), "text+model": ("text", "model"), "all": ("text", "
 
 
 @query(_EVAL + " " + " UNION ALL ".join(_layer_sql(n, ", ".join(f"'{x}'" for x in xs)) for n, xs in _LAYERS.items()))
-def eval_layers(s, d):
-    return evaluate.layer_scores(_gold(s, d), cut(_gold_variants(s, d)), cut(_triples(s, d)), _LAYERS)
+def eval_layers(s, d, of=_triples):
+    return evaluate.layer_scores(_gold(s, d), cut(_gold_variants(s, d)), cut(of(s, d)), _LAYERS)
 
 
-def _judged_gold(s, d):
-    return evaluate.hits(_gold(s, d), _gold_variants(s, d), _triples(s, d))
+def _judged_gold(s, d, of=_triples):
+    return evaluate.hits(_gold(s, d), _gold_variants(s, d), of(s, d))
 
 
 @query(f"{_EVAL} SELECT relation, count(*) FILTER (WHERE hit) AS hit, count(*) AS total FROM judged_gold GROUP BY ROLLUP (relation)")
-def eval_by_relation(s, d):
-    return evaluate.by_relation(_judged_gold(s, d))
+def eval_by_relation(s, d, of=_triples):
+    return evaluate.by_relation(_judged_gold(s, d, of))
 
 
 @query(f"{_EVAL} SELECT gold_id, {_K} FROM judged_gold WHERE NOT hit ORDER BY book, head, relation, tail, gold_id LIMIT 40")
-def eval_missed(s, d):
-    return _judged_gold(s, d).where("not hit").orderBy(*aggregate.KEY, "gold_id").limit(40).select("gold_id", *aggregate.KEY)
+def eval_missed(s, d, of=_triples):
+    return _judged_gold(s, d, of).where("not hit").orderBy(*aggregate.KEY, "gold_id").limit(40).select("gold_id", *aggregate.KEY)
 
 
 @query(f"{_EVAL} SELECT DISTINCT {_K} FROM triples t WHERE NOT EXISTS (SELECT 1 FROM variants v WHERE v.book = t.book AND v.head = t.head AND v.relation = t.relation AND v.tail = t.tail) ORDER BY book, head, relation, tail LIMIT 40")
-def eval_extra(s, d):
-    return _triples(s, d).select(*aggregate.KEY).distinct().join(_gold_variants(s, d).select(*aggregate.KEY).distinct(), list(aggregate.KEY), "left_anti").orderBy(*aggregate.KEY).limit(40)
+def eval_extra(s, d, of=_triples):
+    return of(s, d).select(*aggregate.KEY).distinct().join(_gold_variants(s, d).select(*aggregate.KEY).distinct(), list(aggregate.KEY), "left_anti").orderBy(*aggregate.KEY).limit(40)
 
 
 @query(f"{_TEXT} SELECT {_K}, evidence FROM cand ORDER BY md5('7' || book || '|' || head || '|' || relation || '|' || tail) LIMIT 50")
-def human_sample(s, d):
+def human_sample(s, d, of=_text_edges):
     key = F.concat_ws("|", *aggregate.KEY)
-    return evaluate.sample(_text_edges(s, d), key, 50, "7").select(*aggregate.KEY, "evidence")
+    return evaluate.sample(of(s, d), key, 50, "7").select(*aggregate.KEY, "evidence")
 
 
 _W = "(p + 1.96 * 1.96 / (2 * n) {} 1.96 * sqrt(p * (1 - p) / n + 1.96 * 1.96 / (4 * n * n))) / (1 + 1.96 * 1.96 / n)"
 
 
 @query(f"{_EVAL}, a AS (SELECT relation, count(*) FILTER (WHERE hit) AS \"right\", count(*) AS judged FROM judged_gold GROUP BY relation) SELECT relation, \"right\", judged, round({_W.format('-')}, 4) AS low, round({_W.format('+')}, 4) AS high FROM (SELECT *, CAST(judged AS DOUBLE) AS n, \"right\" / judged AS p FROM a) x")
-def audit_wilson(s, d):
+def audit_wilson(s, d, of=_triples):
     """Accuracy by relation, the hits standing for the judgements of an audit."""
-    g = _judged_gold(s, d).groupBy("relation").agg(F.count_if("hit").alias("right"), F.count("*").alias("judged"))
+    g = _judged_gold(s, d, of).groupBy("relation").agg(F.count_if("hit").alias("right"), F.count("*").alias("judged"))
     low, high = evaluate.wilson(F.col("right"), F.col("judged"))
     return g.select("relation", "right", "judged", low.alias("low"), high.alias("high"))
 
@@ -871,9 +873,9 @@ _ABLATION = " UNION ALL ".join(
 
 
 @query(f"{_TEXT}, {_VERDICT}, {_judged(True, 'g')}, {_judged(False, 'p')}, guarded_kept AS (SELECT DISTINCT book, CASE WHEN outcome = 'flip' THEN tail ELSE head END AS head, relation, CASE WHEN outcome = 'flip' THEN head ELSE tail END AS tail FROM g WHERE outcome <> 'reject'), plain_kept AS (SELECT {_K} FROM p WHERE outcome <> 'reject'), {_GOLD}, {_RESOLVED}, {_VARIANTS} {_ABLATION}")
-def ablation_matrix(s, d):
+def ablation_matrix(s, d, of=_text_edges):
     g, v = _gold(s, d), cut(_gold_variants(s, d))
-    e = cut(_text_edges(s, d))
+    e = cut(of(s, d))
     out = None
     for n, guarded in (("guarded", True), ("plain", False)):
         p = cut(review.apply(review.outcomes(e, _verdicts(e), table(s, d, "entity"), table(s, d, "relation_spec"), guarded)))
@@ -895,9 +897,9 @@ def _focus(s, d, t):
     return graph.top_degree(t, table(s, d, "entity"), top=1).select("book", F.col("name").alias("focus"))
 
 
-def _graph(s, d):
+def _graph(s, d, of=_triples):
     """The triples, written once: the graph queries read them several times."""
-    return cut(_triples(s, d))
+    return cut(of(s, d))
 
 
 @query(f"WITH {q.ALIAS}, {_GOLD}, x AS (SELECT g.book, g.form AS name, a.canon FROM gold_alias g JOIN alias a ON a.book = g.book AND a.name = g.name) SELECT book, name, min(canon) AS canon FROM (SELECT book, name, canon FROM alias UNION ALL SELECT x.book, x.name, x.canon FROM x WHERE NOT EXISTS (SELECT 1 FROM alias a WHERE a.book = x.book AND a.name = x.name)) y GROUP BY 1, 2")
@@ -908,23 +910,23 @@ def panel_alias(s, d):
 
 
 @query(f"{_G} SELECT * FROM degrees")
-def degree(s, d):
-    return graph.degree(_triples(s, d))
+def degree(s, d, of=_triples):
+    return graph.degree(of(s, d))
 
 
 @query(f"{_G} SELECT book, rank, name, degree, round(degree / max(degree) OVER (PARTITION BY book), 4) AS share FROM tops WHERE rank <= 8")
-def top_degree(s, d):
-    return graph.top_degree(_triples(s, d), table(s, d, "entity"))
+def top_degree(s, d, of=_triples):
+    return graph.top_degree(of(s, d), table(s, d, "entity"))
 
 
 @query(f"{_GRAPH} SELECT {_K}, votes, source FROM triples WHERE source <> 'inferred' AND (source <> 'text' OR coalesce(votes, 1) >= 2)")
-def high_confidence_edges(s, d):
-    return graph.shown(_triples(s, d)).select(*aggregate.KEY, "votes", "source")
+def high_confidence_edges(s, d, of=_triples):
+    return graph.shown(of(s, d)).select(*aggregate.KEY, "votes", "source")
 
 
 @query(f"{_G}, near AS (SELECT book, focus AS name FROM focus UNION SELECT e.book, e.other FROM ends e JOIN focus f ON f.book = e.book AND f.focus = e.node) SELECT {_K}, source FROM triples t WHERE EXISTS (SELECT 1 FROM near n WHERE n.book = t.book AND n.name = t.head) AND EXISTS (SELECT 1 FROM near n WHERE n.book = t.book AND n.name = t.tail)")
-def ego_network(s, d):
-    t = _graph(s, d)
+def ego_network(s, d, of=_triples):
+    t = _graph(s, d, of)
     return graph.ego(t, _focus(s, d, t)).select(*aggregate.KEY, "source")
 
 
@@ -934,14 +936,14 @@ SELECT book, focus, row_number() OVER (PARTITION BY book ORDER BY votes DESC, re
 
 
 @query(_lookup_sql("e.relation IN ('居住', '驻守')", 15))
-def relation_lookup(s, d):
-    t = _graph(s, d)
+def relation_lookup(s, d, of=_triples):
+    t = _graph(s, d, of)
     return graph.lookup(t, _focus(s, d, t), graph.expand_word("住在", list(CATEGORY), SYNONYMS))
 
 
 @query(_lookup_sql("true", 60))
-def entity_detail(s, d):
-    t = _graph(s, d)
+def entity_detail(s, d, of=_triples):
+    t = _graph(s, d, of)
     return graph.lookup(t, _focus(s, d, t), top=60)
 
 
@@ -955,8 +957,8 @@ dist AS (SELECT book, node, min(hops) AS hops FROM bfs GROUP BY 1, 2)"""
 
 
 @query(f"{_G}, {_BFS} SELECT book, node, hops FROM dist")
-def bfs_distances(s, d):
-    t = _graph(s, d)
+def bfs_distances(s, d, of=_triples):
+    t = _graph(s, d, of)
     return graph.distances(t, _focus(s, d, t).select("book", F.col("focus").alias("node")))
 
 
@@ -966,9 +968,9 @@ par AS (SELECT e.book, e.other AS node, e.node AS parent, e.relation, e.dir FROM
   QUALIFY row_number() OVER (PARTITION BY e.book, e.other ORDER BY e.node) = 1),
 path AS (SELECT t.book, t.hops AS step, t.node FROM target t UNION ALL SELECT p.book, x.step - 1, p.parent FROM path x JOIN par p ON p.book = x.book AND p.node = x.node)
 SELECT x.book, x.step, x.node, coalesce(p.relation, '') AS relation, coalesce(p.dir, '') AS dir FROM path x LEFT JOIN par p ON p.book = x.book AND p.node = x.node""")
-def shortest_path(s, d):
+def shortest_path(s, d, of=_triples):
     """From each book's busiest person to the farthest node."""
-    t = _graph(s, d)
+    t = _graph(s, d, of)
     f = _focus(s, d, t)
     far = graph.distances(t, f.select("book", F.col("focus").alias("node")))
     far = far.groupBy("book").agg(F.min_by("node", F.struct((-F.col("hops")).alias("h"), "node")).alias("target"))
@@ -976,27 +978,27 @@ def shortest_path(s, d):
 
 
 @query(f"{_G} SELECT t.book, count(*) AS triples, (SELECT count(DISTINCT node) FROM ends e WHERE e.book = t.book) AS entities, count(DISTINCT relation) AS relations FROM triples t GROUP BY t.book")
-def graph_stats(s, d):
-    return graph.stats(_triples(s, d))
+def graph_stats(s, d, of=_triples):
+    return graph.stats(of(s, d))
 
 
 @query(f"{_GRAPH}, g AS (SELECT book, source, count(*) AS n FROM triples GROUP BY 1, 2) SELECT book, source, n, round(n / sum(n) OVER (PARTITION BY book), 4) AS share FROM g")
-def source_share(s, d):
-    return graph.source_share(_triples(s, d))
+def source_share(s, d, of=_triples):
+    return graph.source_share(of(s, d))
 
 
 @query(f"{_G} SELECT g.book, g.name, CASE WHEN e.type = '地点' THEN 'rect' WHEN e.type IN ('势力', '家族') THEN 'diamond' ELSE 'circle' END AS shape, round(least(14 + sqrt(degree) * 3.2, 40.0), 3) AS size FROM degrees g LEFT JOIN entity e ON e.book = g.book AND e.canon = g.name")
-def graph_layout_attrs(s, d):
-    return graph.layout(_triples(s, d), table(s, d, "entity"))
+def graph_layout_attrs(s, d, of=_triples):
+    return graph.layout(of(s, d), table(s, d, "entity"))
 
 
 _CATEGORY_SQL = "CASE relation " + " ".join(f"WHEN '{r}' THEN '{c}'" for r, c in CATEGORY.items()) + " ELSE 'other' END"
 
 
 @query(f"{_GRAPH} SELECT book, {_CATEGORY_SQL} AS category, count(*) AS n FROM triples GROUP BY 1, 2")
-def category_counts(s, d):
+def category_counts(s, d, of=_triples):
     c = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in CATEGORY.items() for x in kv)), F.col("relation")), F.lit("other"))
-    return _triples(s, d).groupBy("book", c.alias("category")).agg(F.count("*").alias("n"))
+    return of(s, d).groupBy("book", c.alias("category")).agg(F.count("*").alias("n"))
 
 
 # Time, runs, provider -----------------------------------------------------------------------------------------------------------
@@ -1101,14 +1103,42 @@ def json_salvage(s, d):
 # The whole chain ----------------------------------------------------------------------------------------------------------------
 
 
-def replay(s: SparkSession, d: str) -> DataFrame:
-    """Validate, aggregate, review, repair, infer and evaluate everything: the chain that the published replay figure is of."""
+def _chain(s, d):
     from loomgraph.plans.pipeline import Pipeline
 
     p = Pipeline(_relations(s, d), table(s, d, "entity"), table(s, d, "relation_spec"), merge_map=table(s, d, "merge_map"))
     p.proposals = _relations(s, d).where("round = 2").select(F.col("assertion_id").alias("id"), "book", "head", strip_all(F.col("relation")).alias("relation"), "tail", F.col("evidence").alias("reason"))
     p.verdicts = _verdicts(p.candidates())
-    return p.metrics(_gold(s, d), _gold_alias(s, d))
+    return p
+
+
+def replay(s: SparkSession, d: str) -> DataFrame:
+    """Validate, aggregate, review, repair, infer and evaluate everything: the chain that the published replay figure is of."""
+    return _chain(s, d).metrics(_gold(s, d), _gold_alias(s, d))
 
 
 QUERIES["replay"] = replay
+
+
+# The same queries over the whole graph: all assertions, the reviewed and functionally resolved text layer, three rounds of inference.
+# They have no SQL; those above keep to the graph that theirs states.
+
+
+def _whole_text(s, d):
+    return _chain(s, d).text_layer()
+
+
+def _whole_triples(s, d):
+    return _chain(s, d).triples().select(*aggregate.KEY, "votes", "source", "evidence")
+
+
+def _whole(names: str, of) -> None:
+    for name in names.split():
+        QUERIES[f"whole_{name}"] = partial(QUERIES[name], of=of)
+
+
+_whole("export_triples eval_layers eval_by_relation eval_missed eval_extra audit_wilson degree top_degree high_confidence_edges ego_network relation_lookup entity_detail", _whole_triples)
+_whole("bfs_distances shortest_path graph_stats source_share graph_layout_attrs category_counts", _whole_triples)
+_whole("additions_filter edges_closure_sym infer_fixpoint human_sample", _whole_text)
+_whole("rule_two_hop rule_three_hop rule_dominant rule_sibling rule_grandparent rule_cousin_unless", _whole_text)
+_whole("ablation_matrix", _edges)  # which reviews by itself

@@ -62,3 +62,22 @@ def test_variants_share_their_stages(tables):
     p = Pipeline(rel, entity, spec, config=PipelineConfig(additions=False, rules=infer.RULES[:1], rounds=1))
     assert p.validated() is p.validated()
     assert p.triples().where("source = 'model'").count() == 0
+
+
+def test_whole_queries_read_both_rounds_and_chain_rules(spark, tmp_path):
+    from loomgraph import catalog
+
+    d = str(tmp_path)
+    spec = [("主仆", "人物", "人物", True, False, None, "主→仆"), ("隶属", "人物", "势力", True, False, "head", "人→势")]
+    spark.createDataFrame(spec, "name string, domain string, range string, directed boolean, symmetric boolean, functional_on string, definition string").write.parquet(f"{d}/relation_spec.parquet")
+    names = [("甲某", "人物"), ("乙某", "人物"), ("丙某", "人物"), ("魏国", "势力")]
+    spark.createDataFrame([(i, "b", n, k, None) for i, (n, k) in enumerate(names)], "entity_id long, book string, canon string, type string, aliases array<string>").write.parquet(f"{d}/entity.parquet")
+    spark.createDataFrame([], "book string, map_id long, alias string, canon string").write.parquet(f"{d}/merge_map.parquet")
+    said = [("甲某", "主仆", "乙某", 1), ("乙某", "主仆", "丙某", 2), ("甲某", "隶属", "魏国", 1)]
+    rows = [(10 * i + 6, "b", "p1", h, r, t, f"{h}与{t}{r}。", n, [1], "模型引用", "high", i, 1) for i, (h, r, t, n) in enumerate(said)]  # numbers without verdict
+    spark.createDataFrame(rows, "assertion_id long, book string, pack string, head string, relation string, tail string, evidence string, round int, chapters array<int>, evidence_src string, confidence string, seq long, response_id long").write.parquet(f"{d}/relations.parquet")
+    key = lambda n: {tuple(r) for r in catalog.QUERIES[n](spark, d).select("head", "relation", "tail", "source", "votes").collect()}
+    want = {("甲某", "主仆", "乙某", "text", 1), ("乙某", "主仆", "丙某", "text", 1), ("甲某", "隶属", "魏国", "text", 1), ("乙某", "隶属", "魏国", "inferred", None), ("丙某", "隶属", "魏国", "inferred", None)}
+    assert key("whole_export_triples") == want
+    assert key("export_triples") != want  # the first round alone, as its SQL states
+    assert {tuple(r) for r in catalog.QUERIES["whole_infer_fixpoint"](spark, d).select("head", "round").collect()} == {("乙某", 1), ("丙某", 2)}
