@@ -73,25 +73,29 @@ def suggest(alias: DataFrame, part: str, top: int = 12) -> DataFrame:
     return a.where(F.col("rank") <= top).select("book", "rank", F.col("name").alias("label"), "canon")
 
 
-def distances(triples: DataFrame, sources: DataFrame, most: int = 50) -> DataFrame:
-    """(book, node, hops): breadth-first distance from each book's sources (book, node), inferred edges aside.
+def distances(triples: DataFrame, sources: DataFrame, most: int | None = None) -> DataFrame:
+    """(book, node, hops): breadth-first distance from each book's sources (book, node), inferred edges aside; of all nodes, or those within ``most`` hops.
 
     Each round joins the frontier with the edges once and leaves out what was seen; frontiers are written, the loop sees only whether one is empty.
     """
     edge = cut(ends(triples.where(F.col("source") != INFERRED)).select("book", "node", "other").distinct())
     front = cut(sources.select("book", "node").distinct())
     seen = front.withColumn("hops", F.lit(0))
-    for n in range(1, most + 1):
+    n = 0
+    while most is None or n < most:
+        n += 1
         near = front.join(edge, ["book", "node"]).select("book", F.col("other").alias("node")).distinct()
         front = cut(near.join(seen, ["book", "node"], "left_anti"))
         if not front.limit(1).count():
             uncut(front)
             break
         seen = seen.unionByName(front.withColumn("hops", F.lit(n)))
+        if n % 16 == 0:
+            seen = cut(seen)  # so that no plan grows with the hops
     return seen
 
 
-def shortest_path(triples: DataFrame, pairs: DataFrame, most: int = 50) -> DataFrame:
+def shortest_path(triples: DataFrame, pairs: DataFrame, most: int | None = None) -> DataFrame:
     """(book, step, node, relation, dir): one shortest path for each book's pair (book, source, target); of equal parents the smallest is taken."""
     edge = cut(ends(triples.where(F.col("source") != INFERRED)).groupBy("book", "node", "other").agg(F.min(F.struct("relation", "dir")).alias("by")))
     d = cut(distances(triples, pairs.select("book", F.col("source").alias("node")), most))

@@ -206,6 +206,12 @@ def test_paths_are_shortest_and_symmetric(spark, triples):
     assert [(r.step, r.node, r.relation, r.dir) for r in p] == [(0, "甲", "", ""), (1, "乙", "r", "→"), (2, "丙", "r", "→"), (3, "戊", "r", "→")]
 
 
+def test_distances_go_on_to_the_end_of_a_long_chain(spark):
+    t = spark.createDataFrame([("b", f"n{i}", "师徒", f"n{i + 1}", 1, "text") for i in range(55)], "book string, head string, relation string, tail string, votes long, source string")
+    got = graph.distances(t, spark.createDataFrame([("b", "n0")], "book string, node string")).collect()
+    assert {r.node: r.hops for r in got} == {f"n{i}": i for i in range(56)}
+
+
 def test_stored_recall_figures():
     for hit, gold, want in ((167, 266, 0.6278), (181, 266, 0.6805), (203, 266, 0.7632), (202, 252, 0.8016), (210, 252, 0.8333)):
         assert round(hit / gold, 4) == want
