@@ -21,17 +21,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.shingles import K_HAN, K_OTHER, Batch, Lookup, k_of
 from loomgraph.plans.shared import Shared
 
-#: Characters of items in one block.
-BLOCK_CHARS = 8_000_000
+#: Characters of items in one block: a block takes some 40 bytes a character where it is shared.
+BLOCK_CHARS = 2_000_000
 HALF = 0.5
 #: By shingle length: least characters of a passage, largest gap within one.
-PASSAGE, GAP = {K_HAN: 12, K_OTHER: 30}, {K_HAN: 6, K_OTHER: 14}
+PASSAGE, GAP = {K_HAN: 12, K_OTHER: 30}, {K_HAN: 6, K_OTHER: 9}
 #: Texts of one numpy batch hold about so many characters together.
 BATCH_CHARS = 2_000_000
 
@@ -213,8 +214,10 @@ def leaks(documents: DataFrame, items: DataFrame, half: float = HALF, block_char
         counts = {k: np.zeros(len(v.values), np.int64) for k, v in x.lookup.items()}
         shared = Shared(spark, x)
         counted = texts.mapInArrow(_count(shared), "k int, j long, n long").groupBy("k", "j").agg(F.sum("n").alias("n"))
-        for r in counted.toLocalIterator():  # a count for each shingle of the block
-            counts[r.k][r.j] = r.n
+        found_ = counted.toArrow()  # a count for each shingle of the block
+        for k in counts:
+            own = found_.filter(pc.equal(found_.column("k"), k))
+            counts[k][own.column("j").to_numpy()] = own.column("n").to_numpy()
         x.order(counts, half)
         shared = Shared(spark, x)
         one = texts.mapInArrow(_join(shared, half), schema)

@@ -1,7 +1,7 @@
 """Folding and shingling whole batches of texts with numpy.
 
 A batch is one array of code points; letters and digits are kept, folded in case and width, all else is dropped.  Shingles are runs of
-K code points (5 where the text is mostly Han, which parts no words; 12, about two words and a half, elsewhere), hashed by doubling.
+K code points (5 where the text is mostly Han, which parts no words; 8, some two words, elsewhere), hashed by doubling.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import numpy as np
 
 from loomgraph.plans.shared import worker_cache
 
-K_HAN, K_OTHER = 5, 12
+K_HAN, K_OTHER = 5, 8
 _B = 0x9E3779B97F4A7C15
 _M = (1 << 64) - 1
 BITS = 22
@@ -71,8 +71,8 @@ class Batch:
             h2 = join(h1, h1, 1, 1)
             h4 = join(h2, h2, 2, 2)
             h5 = join(h4, h1, 4, 1)
-            h12 = join(join(h4, h4, 4, 4), h4, 8, 4)
-            out = {K_HAN: h5 * b, K_OTHER: h12 * b}
+            h8 = join(h4, h4, 4, 4)
+            out = {K_HAN: h5 * b, K_OTHER: h8 * b}
         end = self.start[1:][self.doc] if n else np.zeros(0, np.int64)
         for k, h in out.items():
             h ^= h >> np.uint64(29)

@@ -198,6 +198,21 @@ def test_no_accepted_pair_is_filtered_with_dense_typing_changes(spark):
     assert got == want and any(i < 6 and d // 10 in (4, 5) for d, i in want) and (len(docs) - 1, 6) in want
 
 
+@pytest.mark.parametrize("kind, every", [("han", 7), ("han", 8), ("latin", 12), ("latin", 15)])
+def test_recall_under_dense_typing_changes(kind, every):
+    """Whole copies and copies of three fifths, one character in ``every`` mistyped; foreign text of the same letters matches nothing."""
+    rnd = random.Random(every)
+    make = novel if kind == "han" else english
+    found = of = 0
+    for _ in range(60):
+        item = make(rnd, rnd.randrange(100, 320))
+        part = item if rnd.random() < 0.5 else item[: int(0.6 * len(item))]
+        of += 1
+        found += leak_share(item, make(rnd, 150) + typed(rnd, part, every) + make(rnd, 150)) >= leakage.HALF
+        assert leak_share(item, make(rnd, 2_000)) == 0
+    assert found / of >= 0.9
+
+
 # 9 --------------------------------------------------------------------------------------------------------------------------------
 
 
