@@ -19,6 +19,8 @@ QUERIES = {
     "p8_found": lambda s, d: leakage.found(t(s, d, "documents"), t(s, d, "held_out")),
     "p9_found": lambda s, d: subjects.found(t(s, d, "documents"), t(s, d, "held_out"), labels=t(s, d, "subject_labels"), areas=t(s, d, "subject_area")),
     "p1_shares": lambda s, d: repetition.shares(t(s, d, "relations")),
+    "p1_response_shares": lambda s, d: repetition.response_shares(t(s, d, "relations")),
+    "p1_bands": lambda s, d: repetition.bands(t(s, d, "relations")),
     "p2_golden_edges": lambda s, d: survivor.golden_edges(t(s, d, "relations")),
     "p3_group_sizes": lambda s, d: components.group_sizes(t(s, d, "alias_groups"), t(s, d, "merge_map")),
     "p5_terms": lambda s, d: term_counts.marked(t(s, d, "candidate")),
@@ -36,7 +38,7 @@ def _bare(x: str) -> str:
 _STAND_INS = ", ".join(f"'{w}'" for w in survivor.STAND_INS)
 _TAIL = r"[\s\x{{00A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}”’」』）)\]】》\"''—-]+$".replace("{{", "{").replace("}}", "}")
 
-#: Problems 1, 4, 7, 8 and 9 aren't expressible in SQL over whole tables; tests hold them against brute force.
+#: The rest of problems 1, 4, 7, 8 and 9 isn't expressible in SQL over whole tables; tests hold them against brute force.
 ORACLE = {
     "p2_found": f"""
 WITH c AS (SELECT edge_id, assertion_id AS id, extracted_at AS ts, regexp_replace(evidence, '{_TAIL}', '') AS e, {_bare("evidence")} AS b,
@@ -68,6 +70,16 @@ ORACLE["p2_golden_edges"] = f"""{_SURVIVORS.replace("evidence_from, arg_max", "e
 SELECT s.edge_id, e.head, e.relation, e.tail, e.evidence, {strip("e.evidence_src")} AS evidence_src, s.evidence_from,
   array_to_string(list_sort(list_distinct(list_filter(c.chapters, lambda x: x > 0))), ',') AS chapters, s.chapters_from, s.k AS merged
 FROM s JOIN relations e ON e.assertion_id = s.evidence_from JOIN relations c ON c.assertion_id = s.chapters_from"""
+ORACLE["p1_shares"] = f"""
+WITH b AS (SELECT assertion_id, {_bare("evidence")} AS e, {_bare("relation")} AS r FROM relations),
+p AS (SELECT assertion_id, e, unnest(range(1, length(e) - 6)) AS i FROM b WHERE length(e) >= 8),
+g AS (SELECT assertion_id, i, row_number() OVER (PARTITION BY assertion_id, substring(e, CAST(i AS INTEGER), 8) ORDER BY i) AS k FROM p),
+c AS (SELECT assertion_id, count(*) AS n FROM (SELECT DISTINCT assertion_id, unnest(range(i, i + 8)) AS at FROM g WHERE k > 1) x GROUP BY assertion_id)
+SELECT b.assertion_id, CASE WHEN e <> '' THEN round(coalesce(c.n, 0) / length(e), 4) END AS repeated,
+  coalesce(length(r) >= 4 AND strpos(substring(r || r, 3), r) BETWEEN 1 AND length(r) - 2, false) AS word_repeated FROM b LEFT JOIN c USING (assertion_id)"""
+ORACLE["p1_response_shares"] = f"""
+SELECT response_id, count(*) AS texts, round((count(*) - count(DISTINCT e)) / count(*), 4) AS repeated
+FROM (SELECT response_id, {_bare("evidence")} AS e FROM relations WHERE response_id IS NOT NULL) x WHERE e <> '' GROUP BY response_id"""
 ORACLE["p3_group_sizes"] = f"SELECT book, group_name, count(*) AS names FROM ({ORACLE['p3_found']}) x GROUP BY 1, 2"
 ORACLE["p5_terms"] = ORACLE["p5_found"].partition("SELECT name, 'rare'")[0] + "SELECT name, CAST(occurrences AS BIGINT) AS occurrences, records, occurrences < 3 AS rare, records > 0.1 * total AS common FROM g, t"
 ORACLE["p6_collapsed"] = ORACLE["p6_found"].partition("SELECT first_id, assertion_id AS copy_id")[0] + "SELECT min(assertion_id) AS assertion_id, count(*) AS copies FROM k GROUP BY book, r, e, x, y"

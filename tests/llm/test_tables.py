@@ -31,22 +31,49 @@ def test_share_of_repeated_characters():
     assert repetition.repeated_share(t) == 8 / 18
 
 
-def test_band_rejects_no_case():
-    import zstandard
-
-    z = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False, write_dict_id=False)
-    rnd = random.Random(1)
-    pools = ["".join(chr(0x4E00 + rnd.randrange(3000)) for _ in range(400)), "abcdefghijklmnopqrstuvwxyz0123456789"]
-    for _ in range(3000):
-        pool = rnd.choice(pools)
-        n = rnd.randrange(1, 200)
-        t = "".join(rnd.choice(pool) for _ in range(n))
-        while rnd.random() < 0.8:
-            i = rnd.randrange(len(t))
-            t += t[i : i + rnd.randrange(8, 40)]
-        if repetition.repeated_share(t) >= repetition.SHARE:
-            b = t.encode()
-            assert len(z.compress(b)) <= repetition.limit(len(b))
+def test_bands_lose_and_add_no_case():
+    bands, rnd = repetition.Bands(), random.Random(1)
+    han = "".join(chr(0x4E00 + rnd.randrange(3000)) for _ in range(400))
+    pools = [han, "abcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyz", han[:60], "ab"]
+    seen = set()
+    for _ in range(2000):
+        pool, n, k = rnd.choice(pools), rnd.randrange(1, rnd.choice([40, 200, 2000])), rnd.choice([8, 8, 9, 12, 40])
+        t = src = "".join(rnd.choice(pool) for _ in range(n))
+        while len(src) >= k and rnd.random() < 0.97 and len(t) < 3 * n:
+            i = rnd.randrange(len(src) - k + 1)
+            t += src[i : i + k] + (rnd.choice(pool) if rnd.random() < 0.5 else "")
+        band = bands.of(next(bands.streams([t])))[2]
+        seen.add(band)
+        assert band != ("reject" if repetition.repeated_share(t) >= repetition.SHARE else "accept")
+    assert seen == {"reject", "border", "accept"} and bands.of(next(bands.streams(["云梯倒了。" * 900])))[2] == "accept"
+
+
+def test_bands_reject_long_texts_without_repeats_and_no_far_repeats():
+    bands, rnd = repetition.Bands(), random.Random(2)
+    some = lambda pool, n: "".join(rnd.choice(pool) for _ in range(n))
+    han = "".join(chr(0x4E00 + rnd.randrange(3000)) for _ in range(3000))
+    plain = [some(pool, n) for n in (100, 1000, 20_000) for pool in (han, "abcdefghijklmnopqrstuvwxyz") for _ in range(5)]
+    assert sum(bands.of(x)[2] == "reject" for x in bands.streams(plain)) > 2 / 3 * len(plain)
+    for n in (2_000, 100_000, 300_000):
+        t = some(han, n)
+        t += "".join(t[(i := rnd.randrange(n - 8)) : i + 8] for _ in range(n // 11))
+        assert repetition.repeated_share(t) >= repetition.SHARE and bands.of(next(bands.streams([t])))[2] == "border"
+
+
+def test_shares_of_many_texts_are_those_of_each():
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice("abc甲") for _ in range(rnd.choice([0, 1, 7, 8, 9, 40, 400]))) for _ in range(200)] + ["a" * 5000, "\U00020000" * 20]
+    assert repetition.repeated_shares(texts).tolist() == [repetition.repeated_share(t) for t in texts]
+    assert repetition.repeated_shares([]).tolist() == repetition.repeated_shares([""])[:0].tolist()
+
+
+def test_shares_of_rows_and_responses(spark):
+    rows = [dict(assertion_id=1, response_id=1, evidence="一二三四五六七八，一二三四五六七八"), dict(assertion_id=2, response_id=1, evidence="一二三四五六七八一二三四五六七八。", relation="夫妻、夫妻"), dict(assertion_id=3, response_id=1), dict(assertion_id=4, evidence="。")]
+    r = rel(spark, rows).withColumn("e", F.lit("x"))
+    assert {tuple(x) for x in repetition.shares(r).collect()} == {(1, 0.5, False), (2, 0.5, True), (3, None, False), (4, None, False)}
+    assert {tuple(x) for x in repetition.response_shares(r).collect()} == {(1, 2, 0.5)}
+    assert {(x.band, x.length, x.texts) for x in repetition.bands(r).collect()} == {("border", 16, 2)}
+    assert repetition.shares(rel(spark, [])).count() == repetition.response_shares(rel(spark, [])).count() == 0
 
 
 def test_words_said_again():
