@@ -21,6 +21,7 @@ QUERIES = {
     "p1_shares": lambda s, d: repetition.shares(t(s, d, "relations")),
     "p1_response_shares": lambda s, d: repetition.response_shares(t(s, d, "relations")),
     "p1_bands": lambda s, d: repetition.bands(t(s, d, "relations")),
+    "p2_withheld": lambda s, d: survivor.withheld(t(s, d, "relations")),
     "p2_golden_edges": lambda s, d: survivor.golden_edges(t(s, d, "relations")),
     "p3_group_sizes": lambda s, d: components.group_sizes(t(s, d, "alias_groups"), t(s, d, "merge_map")),
     "p5_terms": lambda s, d: term_counts.marked(t(s, d, "candidate")),

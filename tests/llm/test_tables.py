@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm import components, format_copies, hot_keys, name_variants, repetition, survivor, term_counts
 
-REL = "assertion_id long, response_id long, book string, head string, relation string, tail string, evidence string, evidence_src string, confidence string, chapters array<int>, seq long, edge_id long, extracted_at timestamp"
+REL = "assertion_id long, response_id long, round int, book string, head string, relation string, tail string, evidence string, evidence_src string, confidence string, chapters array<int>, seq long, edge_id long, extracted_at timestamp"
 COLS = [c.split()[0] for c in REL.split(", ")]
 
 
@@ -140,8 +140,22 @@ def test_currency_is_reasoned_where_no_time_is_known(spark):
     rows += [dict(assertion_id=910, edge_id=2, evidence="甲。", chapters=[1], confidence="medium", extracted_at=ts(5)), dict(assertion_id=911, edge_id=2, evidence="乙。", chapters=[1], confidence="high"), dict(assertion_id=912, edge_id=3, evidence="甲。", chapters=[1], confidence="medium", extracted_at=ts(5)), dict(assertion_id=913, edge_id=3, evidence="乙。", chapters=[1], confidence="low")]
     got = {r.edge_id: r.evidence_from for r in survivor.found(rel(spark, rows)).collect()}
     assert (got[1], got[2], got[3]) == (901, 911, 912)
-    depth = survivor.precedence(survivor.states(rel(spark, rows)), "es")
-    assert depth[13] < depth[14] < depth[15]
+    order = survivor.precedence(survivor.transitions(survivor.states(rel(spark, rows)))["es"])
+    assert {(52, 56), (56, 60), (52, 60)} <= order and not any((b, a) in order for a, b in order)
+
+
+def test_transitions_cross_days_and_order_has_no_cycle(spark):
+    rows = [dict(assertion_id=i, edge_id=1, evidence="甲。", chapters=[1], confidence=c, extracted_at=ts(m)) for i, (m, c) in enumerate([(0, "low"), (5, "low"), (1500, "medium"), (1501, "high"), (9000, "medium"), (9001, None)])]
+    t = survivor.transitions(survivor.states(rel(spark, rows)))
+    assert t["es"] == {(52, 56): 1, (56, 60): 1, (60, 56): 1, (56, 48): 1} and t["cs"] == {}
+    assert survivor.precedence({(1, 2): 5, (2, 3): 4, (3, 1): 3, (2, 1): 1, (4, 4): 9}) == {(1, 2), (2, 3), (1, 3)}
+
+
+def test_withheld_stamps_are_scored(spark):
+    rows = [dict(assertion_id=3 * e + k, edge_id=e, evidence="甲。", chapters=[1], confidence=c, extracted_at=ts(60 * k)) for e in range(200) for k, c in enumerate(("low", "medium", "high"))]
+    got = {r.field: r for r in survivor.withheld(rel(spark, rows)).collect()}
+    assert got["evidence"].share > 0.95 and got["evidence"].edges == got["chapters"].edges > 50
+    assert [r.edges for r in survivor.withheld(rel(spark, [])).collect()] == [0, 0]
 
 
 # 3 --------------------------------------------------------------------------------------------------------------------------------
