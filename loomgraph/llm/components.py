@@ -2,8 +2,8 @@
 
 Connected components by reduction: vertices of degree one are stripped, vertices inside chains (degree two) are spliced out by the
 independent-set form of list ranking (a vertex goes when its random priority is below that of its degree-two neighbours, so that a
-chain shrinks by a constant share in each round, whatever its length), until the graph no longer shrinks much; the reduced core is
-solved by alternating large-star and small-star; then labels go back to the removed vertices along their parents, by pointer jumping.
+chain shrinks by a constant share in each round, whatever its length), until neither is left, after a number of rounds in the logarithm of
+the graph; the reduced core is solved by alternating large-star and small-star until nothing changes; then labels go back to the removed vertices along their parents, by pointer jumping.
 
 All steps are aggregations and equi-joins of edge tables, written to the shared folder after each round; degrees and lone neighbours
 come from map-side counts, minima and maxima, so that a vertex with a third of all edges never meets in one task; joins on such a vertex
@@ -23,8 +23,6 @@ from loomgraph.plans.frames import cut, uncut
 
 #: Parts book from name in a vertex; a book has no such character.
 _SEP = "\x01"
-#: The core is solved once a round removes less than this share of the edges.
-LEAST_SHRINK = 0.1
 
 
 def match_edges(alias_groups: DataFrame, merge_map: DataFrame) -> DataFrame:
@@ -64,33 +62,31 @@ def _without(edges: DataFrame, gone: DataFrame) -> DataFrame:
     return edges.join(gone.select(F.col("v").alias("a")), "a", "left_anti").join(gone.select(F.col("v").alias("b")), "b", "left_anti").select("a", "b")
 
 
-def reduce_graph(edges: DataFrame, least_shrink: float = LEAST_SHRINK, most_rounds: int = 60) -> tuple[DataFrame, list[DataFrame]]:
-    """The core's edges and the (v, parent) tables of the removed vertices, by round."""
+def reduce_graph(edges: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """The core's edges, every vertex of which has three neighbours or more, and the (v, parent, hi) tables of the removed vertices, by round."""
     removed: list[DataFrame] = []
     now = cut(edges)
-    n = now.count()
-    for _ in range(most_rounds):
-        if not n:
-            break
+    left = now.count()
+    while left:
         deg = cut(_degrees(now))
-        leaves = cut(_leaves(deg))
-        splices = cut(_splices(deg))
-        removed += [leaves, splices.select("v", F.col("lo").alias("parent"))]
-        short = splices.select(F.least("lo", "hi").alias("a"), F.greatest("lo", "hi").alias("b"))
-        after = cut(_without(now, leaves.select("v").unionAll(splices.select("v"))).unionAll(short).distinct())
-        uncut(now, deg)
-        left = after.count()
-        now, done, n = after, n - left < least_shrink * n, left
-        if done:
+        gone = cut(_leaves(deg).withColumn("hi", F.lit(None).cast("string")).unionByName(_splices(deg).withColumnRenamed("lo", "parent")))
+        uncut(deg)
+        if not gone.limit(1).count():
+            uncut(gone)
             break
+        removed.append(gone)
+        short = gone.where("hi is not null").select(F.least("parent", "hi").alias("a"), F.greatest("parent", "hi").alias("b"))
+        after = cut(_without(now, gone).unionAll(short).distinct())
+        uncut(now)
+        now, left = after, after.count()
     return now, removed
 
 
-def core_labels(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
+def core_labels(edges: DataFrame) -> DataFrame:
     """(v, root) of all vertices of the edges, root the smallest vertex of the component: large-star and small-star until nothing changes."""
     now = cut(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct())
     state = None
-    for _ in range(most_rounds):
+    while True:
         # large-star: the greater neighbours of each vertex go to its smallest neighbour or itself
         both = now.select("v", "u").unionAll(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
         low = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
@@ -111,20 +107,21 @@ def core_labels(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     return now.select("v", F.col("u").alias("root")).unionAll(roots.select("v", F.col("v").alias("root")))
 
 
-def components(edges: DataFrame, least_shrink: float = LEAST_SHRINK) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(v, root) of every vertex of the edges (a, b); root is the smallest vertex of its component."""
-    core, removed = reduce_graph(edges, least_shrink)
+    core, removed = reduce_graph(edges)
     n = core.count()
     label = core_labels(core) if n else None
     parent = None
     for r in removed:
-        parent = r if parent is None else parent.unionAll(r)
+        up = r.select("v", "parent")
+        parent = up if parent is None else parent.unionAll(up)
     if parent is None:
         return edges.select(F.col("a").alias("v"), F.col("a").alias("root"))  # no edges
     if label is not None:
         parent = parent.unionAll(label.select("v", F.col("root").alias("parent")).where("v <> parent"))
     p = cut(parent)
-    uncut(core)
+    uncut(core, *removed)
     # Pointer jumping: roots have no row of their own; a parent with none is a root.
     while True:
         up = p.select(F.col("v").alias("parent"), F.col("parent").alias("grand"))
@@ -140,9 +137,9 @@ def components(edges: DataFrame, least_shrink: float = LEAST_SHRINK) -> DataFram
     return members.join(least, "parent").select("v", "root")
 
 
-def found(alias_groups: DataFrame, merge_map: DataFrame, **how) -> DataFrame:
+def found(alias_groups: DataFrame, merge_map: DataFrame) -> DataFrame:
     """(book, name, group_name)."""
-    c = components(match_edges(alias_groups, merge_map), **how)
+    c = components(match_edges(alias_groups, merge_map))
     part = lambda v, i: F.split(v, _SEP, 2)[i]
     return c.select(part("v", 0).alias("book"), part("v", 1).alias("name"), part("root", 1).alias("group_name"))
 

@@ -13,41 +13,34 @@ whatever their names, are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import bare
 from loomgraph.llm.hot_keys import hot_keys
 from loomgraph.plans.frames import cut
 
-#: Symmetric relations beyond this number would not be put into the plan as a list.
-MOST_SYMMETRIC = 5_000
-
-
-def _symmetric(spec: DataFrame | None, relation: Column) -> Column:
-    if spec is None:
-        return F.lit(False)
-    names = [r[0] for r in spec.where("symmetric").select(bare(F.col("name")).alias("n")).where("n <> ''").distinct().limit(MOST_SYMMETRIC + 1).collect()]
-    if len(names) > MOST_SYMMETRIC:
-        raise ValueError(f"relation_spec has over {MOST_SYMMETRIC} symmetric relations")
-    return relation.isin(names) if names else F.lit(False)
-
 
 def keyed_rows(relations: DataFrame, spec: DataFrame | None) -> DataFrame:
     """(id, k1, k2) of every row that can have copies; two hashes of different seeds make the key."""
     c = relations.select(
         F.col("assertion_id").alias("id"), F.col("book").alias("b"), *(bare(F.col(x)).alias(x[0]) for x in ("head", "relation", "tail", "evidence"))
     ).where("h is not null and r is not null and t is not null and e <> ''")
-    swap = _symmetric(spec, F.col("r"))
+    if spec is None:
+        c = c.withColumn("swap", F.lit(False))
+    else:
+        names = spec.where("symmetric").select(bare(F.col("name")).alias("r"), F.lit(True).alias("s")).where("r <> ''").distinct()
+        c = c.join(names, "r", "left").withColumn("swap", F.coalesce("s", F.lit(False)))
+    swap = F.col("swap")
     one, two = F.when(swap, F.least("h", "t")).otherwise(F.col("h")), F.when(swap, F.greatest("h", "t")).otherwise(F.col("t"))
     key = F.concat_ws("\x00", one, F.col("r"), two, F.col("e"), F.coalesce(F.concat(F.lit("="), "b"), F.lit("-")))
     return c.select("id", F.xxhash64(key).alias("k1"), F.xxhash64(F.lit("second"), key).alias("k2"))
 
 
-def format_copies(relations: DataFrame, spec: DataFrame | None = None, share: float = 0.002, least: int = 10_000) -> DataFrame:
+def format_copies(relations: DataFrame, spec: DataFrame | None = None, share: float = 0.002) -> DataFrame:
     """(id, first_id, copies): every row with the smallest identifier of its copies and their number, itself included."""
     keyed = cut(keyed_rows(relations, spec))
-    hot = cut(hot_keys(keyed, keyed.count(), share, least))
+    hot = cut(hot_keys(keyed, keyed.count(), share))
     of_hot = keyed.join(F.broadcast(hot), ["k1", "k2"]).select("id", "first_id", F.col("n").alias("copies"))
     same = Window.partitionBy("k1", "k2")
     rest = keyed.join(F.broadcast(hot.select("k1", "k2")), ["k1", "k2"], "left_anti")

@@ -9,15 +9,15 @@ from pyspark.sql import functions as F
 _TRACKED, _BUCKETS, _MOST = 4096, 64, 100
 
 
-def hot_keys(keyed: DataFrame, rows: int, share: float = 0.002, least: int = 10_000) -> DataFrame:
-    """The exact (k1, k2, n, first_id) of every key of ``keyed`` (id, k1, k2) that has over ``max(least, share * rows)`` rows.
+def hot_keys(keyed: DataFrame, rows: int, share: float = 0.002) -> DataFrame:
+    """The exact (k1, k2, n, first_id) of every key of ``keyed`` (id, k1, k2) that has over ``share * rows`` rows.
 
     Partial sketches, one for each of 64 ranges of keys, name candidates without shuffling rows; a second pass counts those exactly.
     There are fewer than ``1 / share`` hot keys and at most 6,400 candidates whatever the size of the data, so both may be broadcast.
     """
     if share <= 0.0018:
         raise ValueError("the sketch guarantees shares above 0.0018 only")
-    bound = max(least, int(share * rows))
+    bound = int(share * rows)
     found = keyed.groupBy(F.pmod("k1", F.lit(_BUCKETS)).alias("_b")).agg(F.expr(f"approx_top_k(k1, {_MOST}, {_TRACKED})").alias("_t"))
     candidates = found.select(F.explode("_t").alias("_x")).select(F.col("_x.item").alias("k1")).where("k1 is not null")
     counted = (

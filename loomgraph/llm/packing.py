@@ -3,8 +3,8 @@
 Documents are measured in tokens of a public tokenizer.  A document above the capacity is cut into full pieces and a rest; nothing else
 is split.  Rests and whole documents are dealt by hash to groups of a bounded number of tokens and of documents; each group is packed by
 best-fit decreasing, and a lower bound from dual-feasible functions certifies its number of prompts.  Groups that need more prompts than
-their bound keep their full prompts and exchange the documents of the others: these are pooled, dealt anew over fewer groups and packed
-again, as long as that saves prompts.
+their bound exchange the documents of prompts with room: these are pooled, dealt anew over fewer groups and packed again, as long as that
+saves prompts; first those with much room, and when that saves no more, those with less, up to all that aren't filled to the last token.
 
 Only the numbers of prompts and bounds reach the driver.  A group's memory is bounded by MOST_PROMPTS and MOST_ITEMS.
 
@@ -14,6 +14,7 @@ are documents of their own; a text that is exactly as long as the capacity fills
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,9 +31,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: How the byte-level tokenizers of that kind cut a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 MOST_PROMPTS, MOST_ITEMS = 4_000, 400_000
-#: A prompt this full isn't opened again.
-FULL = 0.995
-ROUNDS = 4
+#: Prompts filled below these shares exchange documents, one share after the other.
+OPEN_BELOW = (0.75, 0.95, 0.995, 1.0)
 
 
 def _encoding(path: str):
@@ -114,24 +114,25 @@ def _pack(capacity: int):
         sizes = f["tokens"].to_numpy(np.int64)
         p = best_fit_decreasing(sizes, capacity)
         fill = np.bincount(p, weights=sizes)
-        # The prompts of a group with a gap are open where there is room; the group's first row tells its figures.
+        # The prompts of a group with a gap can be opened where there is room, and those with much room always: bounds of parts round up.
+        # The group's first row tells its figures.
         bound = lower_bound(sizes, capacity)
         gap = len(fill) - bound
         first = np.zeros(len(f), np.int64)
         first[0] = 1
-        return pd.DataFrame({"doc_id": f["doc_id"], "part": f["part"], "tokens": sizes, "round": f["round"], "grp": f["grp"], "n": p, "free": (gap > 0) & (fill[p] < FULL * capacity), "bound": first * bound, "used": first * len(fill)})
+        return pd.DataFrame({"doc_id": f["doc_id"], "part": f["part"], "tokens": sizes, "round": f["round"], "grp": f["grp"], "n": p, "gap": (gap > 0) | (fill[p] < OPEN_BELOW[0] * capacity), "fill": fill[p].astype(np.int64), "bound": first * bound, "used": first * len(fill)})
 
     return run
 
 
-_PACKED = "doc_id long, part int, tokens long, round int, grp long, n long, free boolean, bound long, used long"
+_PACKED = "doc_id long, part int, tokens long, round int, grp long, n long, gap boolean, fill long, bound long, used long"
 
 
 def _deal(items: DataFrame, groups: int, round_: int) -> DataFrame:
     return items.select("doc_id", "part", "tokens", F.lit(round_).alias("round"), F.pmod(F.xxhash64("doc_id", "part", "tokens", F.lit(round_)), F.lit(max(1, groups))).alias("grp"))
 
 
-def pack(counts: DataFrame, capacity: int, rounds: int = ROUNDS, most_prompts: int = MOST_PROMPTS) -> DataFrame:
+def pack(counts: DataFrame, capacity: int, most_prompts: int = MOST_PROMPTS) -> DataFrame:
     """(doc_id, part, tokens, prompt): the prompt of every document, or of every piece of one that is longer than the capacity.
 
     ``counts`` is (doc_id, tokens).
@@ -144,23 +145,26 @@ def pack(counts: DataFrame, capacity: int, rounds: int = ROUNDS, most_prompts: i
     rest = cuts.select("doc_id", F.col("whole").alias("part"), (F.col("tokens") - F.col("whole") * capacity).alias("tokens"))
     n, total = rest.agg(F.count("*"), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     groups = max(-(-total // (capacity * most_prompts)), -(-n // MOST_ITEMS))
-    done = None
     now = cut(_deal(rest, groups, 0).groupBy("round", "grp").applyInPandas(_pack(capacity), _PACKED))
-    for r in range(1, rounds + 1):
-        free = now.where("free")
-        k, volume, prompts = free.agg(F.count("*"), F.coalesce(F.sum("tokens"), F.lit(0)), F.count_distinct("grp", "n")).first()
+    levels = list(OPEN_BELOW)
+    for r in itertools.count(1):
+        free = now.where(F.col("gap") & (F.col("fill") < levels[0] * capacity))
+        k, volume, prompts = free.agg(F.count("*"), F.coalesce(F.sum("tokens"), F.lit(0)), F.count_distinct("round", "grp", "n")).first()
         if prompts < 2:
-            break
+            if not levels[1:]:
+                break
+            del levels[0]
+            continue
         fewer = max(-(-volume // (capacity * most_prompts)), -(-k // MOST_ITEMS))
         again = cut(_deal(free, fewer, r).groupBy("round", "grp").applyInPandas(_pack(capacity), _PACKED))
-        if again.agg(F.sum("used")).first()[0] >= prompts:
-            uncut(again)
+        if again.agg(F.sum("used")).first()[0] < prompts:
+            now = now.where(~(F.col("gap") & (F.col("fill") < levels[0] * capacity))).unionByName(again)
+            continue
+        uncut(again)
+        if not levels[1:]:
             break
-        closed = now.where("not free")
-        done = closed if done is None else done.unionByName(closed)
-        now = again
-    every = now if done is None else done.unionByName(now)
-    return whole.unionByName(every.select("doc_id", "part", "tokens", F.concat_ws("-", "round", "grp", "n").alias("prompt")))
+        del levels[0]
+    return whole.unionByName(now.select("doc_id", "part", "tokens", F.concat_ws("-", "round", "grp", "n").alias("prompt")))
 
 
 def packed(documents: DataFrame, capacity: int, tokenizer: str = TOKENIZER, **how) -> DataFrame:

@@ -16,11 +16,13 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.text import strip_all
 
-SALTS = 64
+#: Parts of a term: enough that none has more than so many rows, if one term had them all.
+LEAST_SALTS, PART_ROWS = 64, 1_000_000
 
 
-def term_counts(candidate: DataFrame, salts: int = SALTS) -> DataFrame:
+def term_counts(candidate: DataFrame, salts: int | None = None) -> DataFrame:
     """(name, occurrences, records) of every term over all records (book, pack)."""
+    salts = salts or max(LEAST_SALTS, -(-candidate.count() // PART_ROWS))
     record = F.struct(F.col("book").alias("b"), F.col("pack").alias("p"))
     rows = candidate.select(strip_all(F.col("name")).alias("name"), F.col("freq").cast("long").alias("f"), record.alias("record")).where("name <> '' and f >= 1")
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("record"), F.lit(salts)))
@@ -31,7 +33,7 @@ def term_counts(candidate: DataFrame, salts: int = SALTS) -> DataFrame:
     return part.groupBy("name").agg(F.sum("o").alias("occurrences"), F.sum("r").alias("records"))
 
 
-def marked(candidate: DataFrame, rare_below: int = 3, common_above: float = 0.1, salts: int = SALTS) -> DataFrame:
+def marked(candidate: DataFrame, rare_below: int = 3, common_above: float = 0.1, salts: int | None = None) -> DataFrame:
     """(name, occurrences, records, rare, common); a term is common that stands in more than that share of all distinct records."""
     total = candidate.select("book", "pack").distinct().agg(F.count("*").alias("total"))  # one row
     t = term_counts(candidate, salts).join(F.broadcast(total))

@@ -176,8 +176,7 @@ def union_find(pairs):
     return {x: root(x) for x in up}
 
 
-@pytest.mark.parametrize("shrink", [0.0, 0.9])
-def test_components_of_every_shape(spark, shrink):
+def test_components_of_every_shape(spark):
     rnd = random.Random(7)
     pairs = [(f"c{i:03}", f"c{i + 1:03}") for i in range(60)]  # a chain
     pairs += [("hub", f"s{i}") for i in range(40)]  # a star
@@ -187,7 +186,7 @@ def test_components_of_every_shape(spark, shrink):
     pairs += [(f"g{rnd.randrange(60)}", f"g{rnd.randrange(60)}") for _ in range(60)]
     pairs = [(a, b) for a, b in pairs if a != b]
     e = spark.createDataFrame([(min(p), max(p)) for p in pairs], "a string, b string").distinct()
-    got = {r.v: r.root for r in components.components(e, shrink).collect()}
+    got = {r.v: r.root for r in components.components(e).collect()}
     assert got == union_find(pairs)
 
 
@@ -365,9 +364,9 @@ def test_copies_hot_and_cold(spark):
     ]
     r = rel(spark, rows).withColumn("k1", F.lit(1)).withColumn("id", F.lit(1))
     want = {(1, i) for i in range(2, 301)} | {(2000, 2001), (2008, 2009), (2010, 2011)}
-    for least in (50, 10_000):  # with and without a hot key
-        assert {tuple(x) for x in format_copies.found(r, spec, least=least).collect()} == want
-    copies = {x.assertion_id: x.copies for x in format_copies.collapsed(r, spec, least=50).collect()}
+    for share in (0.002, 0.9):  # with hot keys and without
+        assert {tuple(x) for x in format_copies.found(r, spec, share=share).collect()} == want
+    copies = {x.assertion_id: x.copies for x in format_copies.collapsed(r, spec).collect()}
     assert copies[1] == 300 and copies[2000] == 2 and copies[1000] == 1
     assert format_copies.found(rel(spark, []), spec).count() == 0
 
@@ -375,8 +374,8 @@ def test_copies_hot_and_cold(spark):
 def test_hot_keys_are_exact(spark):
     rows = [(i, i % 3, 0) for i in range(3000)] + [(5000 + i, 100 + i, 0) for i in range(2000)]
     k = spark.createDataFrame(rows, "id long, k1 long, k2 long")
-    got = {(r.k1, r.n, r.first_id) for r in hot_keys.hot_keys(k, len(rows), least=900).collect()}
+    got = {(r.k1, r.n, r.first_id) for r in hot_keys.hot_keys(k, len(rows), share=0.18).collect()}
     assert got == {(0, 1000, 0), (1, 1000, 1), (2, 1000, 2)}
-    assert hot_keys.hot_keys(k, len(rows), least=1000).count() == 0
+    assert hot_keys.hot_keys(k, len(rows), share=0.2).count() == 0
     with pytest.raises(ValueError):
         hot_keys.hot_keys(k, 1, share=0.001)

@@ -52,6 +52,16 @@ def test_best_fit_takes_the_tightest_room():
     assert packing.best_fit_decreasing(np.array([0, 0]), 10).tolist() == [0, 0]
 
 
+def test_groups_with_gaps_exchange_documents(spark):
+    """Many groups of a few prompts each: what they leave open is packed together, so that few prompts have much room."""
+    rnd = random.Random(17)
+    rows = [(i, rnd.randrange(1, 40)) for i in range(1500)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, tokens long"), 100, most_prompts=8).toPandas()
+    fill = got.groupby("prompt").tokens.sum()
+    assert fill.max() <= 100 and sorted(got.doc_id) == [i for i, _ in rows] and got.prompt.str.partition("-")[0].nunique() > 1
+    assert len(fill) <= packing.lower_bound(np.array([n for _, n in rows]), 100) + 2
+
+
 @pytest.mark.parametrize("most", [3, 4000])
 def test_pack_keeps_every_token(spark, most):
     rnd = random.Random(9)
