@@ -275,16 +275,48 @@ def test_labels_and_calibration(spark):
     assert subjects.calibrate(scored, truth.limit(0), ["warfare"]) == {"warfare": 0.2}
 
 
+def test_phrases_are_learned_from_labels(spark):
+    rnd = random.Random(4)
+    filler = lambda: "".join(chr(0x5100 + rnd.randrange(300)) for _ in range(9)) + "。"
+    docs = [(i, "".join(filler() for _ in range(4)) + ("城门落了闸。" if i % 3 == 0 else "The last note died." if i % 3 == 1 else "城门开了。")) for i in range(90)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, {0: "warfare", 1: "arts", 2: "trade"}[i % 3], "a") for i in range(60)] + [(77, None, "a"), (None, "law", "b")], "doc_id long, subject string, annotator string")
+    got = set(subjects.learned(d, labels, subjects.Lexicon()))
+    assert ("warfare", "落了闸") in got and ("arts", "last note died") in got and not any("城门落" != p and p == "城门" for _, p in got)
+    by = {(r.doc_id, r.subject) for r in subjects.found(d, labels=labels).collect()}
+    assert {(i, "warfare" if i % 3 == 0 else "arts") for i in range(60, 90) if i % 3 < 2} <= by
+    assert subjects.learned(d, labels.limit(0), subjects.Lexicon()) == []
+
+
+def test_common_entries_do_not_decide_alone(spark):
+    docs = [(i, "渡口有货栈。起风了。") for i in range(200)] + [(1000 + i, f"{w}在此。起风了。") for i, w in enumerate("云梯 奏折 嫁妆 供词 药方 经卷 琴谱 秧苗 烽烟 诏书".split() * 2)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id for r in subjects.found(d).collect()}
+    assert got == set(range(1000, 1020))
+
+
+def test_items_in_blocks_touch_the_same_sentences(spark, monkeypatch):
+    rnd = random.Random(13)
+    items = [novel(rnd, 90) for _ in range(4)]
+    docs = [(i, "云梯倒了。起风了。" + items[i % 4][:45] + "。" + items[i % 4][45:] + "。" + novel(rnd, 20) + "。") for i in range(8)] + [(3, "云梯倒了。起风了。" + items[3] + "。")] * 2
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    h = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    whole = sorted(map(tuple, subjects.scores(d, h).collect()))
+    monkeypatch.setattr(subjects, "blocks", lambda x: leakage.blocks(x, 100))
+    assert sorted(map(tuple, subjects.scores(d, h).collect())) == whole and {(a, o) for _, _, a, o in whole} == {(1, 3), (1, 2)} and len(whole) == 10
+
+
 def test_held_out_accuracy_on_labelled_documents(spark):
-    """Against the annotators' labels of the smallest data, which are themselves noisy."""
+    """Learned and calibrated on one half of the labels, scored on the other, which are themselves noisy."""
     from pathlib import Path
 
     sf = Path("/root/testdata/sf0.01")
     if not sf.exists():
         pytest.skip("no data")
     t = lambda n: spark.read.parquet(str(sf / f"{n}.parquet"))
-    lex = subjects.Lexicon()
-    truth = {tuple(r) for r in subjects.clean_labels(t("subject_labels"), lex.subjects).collect()}
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    truth = {tuple(r) for r in subjects.clean_labels(t("subject_labels").where(~half), subjects.Lexicon().subjects).collect()}
     ids = {i for i, _ in truth}
-    got = {tuple(r) for r in subjects.found(t("documents"), t("held_out")).collect() if r.doc_id in ids}
-    assert len(got & truth) / len(truth) > 0.85 and len(got & truth) / len(got) > 0.85
+    got = {tuple(r) for r in subjects.found(t("documents"), t("held_out"), labels=t("subject_labels").where(half)).collect() if r.doc_id in ids}
+    both = len(got & truth)
+    assert 2 * both / (len(truth) + len(got)) > 0.9
