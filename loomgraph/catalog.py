@@ -504,7 +504,7 @@ def _edges(s, d, where: str = "true"):
 
 _K = "book, head, relation, tail"
 _CAND = f"WITH RECURSIVE {q.VALIDATED}, {q.votes()}"
-_TEXT = f"WITH RECURSIVE {q.VALIDATED}, {q.votes('round = 1')}"
+_TEXT = _CAND
 
 
 @query(f"{_CAND} SELECT {_K}, votes, mentions, packs FROM cand")
@@ -514,7 +514,7 @@ def vote_aggregate(s, d):
 
 @query(f"{_CAND} SELECT {_K}, evidence, evidence_src, evidences FROM cand")
 def best_evidence(s, d):
-    return _edges(s, d).select(*aggregate.KEY, "evidence", "evidence_src", "evidences")
+    return _edges(s, d).select(*aggregate.KEY, "evidence", "evidence_src", F.array_join("evidences", " | ").alias("evidences"))
 
 
 @query(f"{_CAND}, c AS (SELECT DISTINCT {_K}, unnest(chapters) AS c FROM cand_rows) SELECT {_K}, string_agg(c, ',' ORDER BY c) AS chapters FROM c WHERE c IS NOT NULL GROUP BY {_K}")
@@ -633,7 +633,7 @@ def flip_merge(s, d):
 
 
 _ADDED = f"""prop AS (SELECT r.assertion_id AS id, r.book, a.canon AS h, b.canon AS t, {q.strip("r.relation")} AS relation, r.evidence AS reason FROM relations r
-  JOIN alias a ON a.book = r.book AND a.name = {q.strip("r.head")} JOIN alias b ON b.book = r.book AND b.name = {q.strip("r.tail")} WHERE r.round = 2),
+  JOIN alias a ON a.book = r.book AND a.name = {q.strip("r.head")} JOIN alias b ON b.book = r.book AND b.name = {q.strip("r.tail")}),
 good AS (SELECT p.*, s.sym FROM prop p JOIN spec s ON s.name = p.relation JOIN entity x ON x.book = p.book AND x.canon = p.h JOIN entity y ON y.book = p.book AND y.canon = p.t
   JOIN forms fh ON fh.book = p.book AND fh.canon = p.h JOIN forms ft ON ft.book = p.book AND ft.canon = p.t
   WHERE p.h <> p.t AND s.domain = x.type AND s.range = y.type AND {q.mention("fh.names", "p.reason")} AND {q.mention("ft.names", "p.reason")}),
@@ -642,13 +642,13 @@ added AS (SELECT k.* FROM keyed k WHERE NOT EXISTS (SELECT 1 FROM cand c WHERE c
 
 
 def _text_edges(s, d):
-    """The text layer of the graph queries: edges of the first round."""
-    return _edges(s, d, "round = 1")
+    """The text layer of the graph queries: the edges of all rounds."""
+    return _edges(s, d)
 
 
 def _additions(s, d, edges):
-    """Proposals: the second round's rows, their quotation as reason."""
-    p = _relations(s, d).where("round = 2").select(F.col("assertion_id").alias("id"), "book", "head", strip_all(F.col("relation")).alias("relation"), "tail", F.col("evidence").alias("reason"))
+    """Proposals: all assertions, their quotation as reason; those that no candidate has are additions."""
+    p = _relations(s, d).select(F.col("assertion_id").alias("id"), "book", "head", strip_all(F.col("relation")).alias("relation"), "tail", F.col("evidence").alias("reason"))
     return review.additions(p, edges, table(s, d, "entity"), table(s, d, "relation_spec"))
 
 
@@ -736,10 +736,10 @@ def infer_fixpoint(s, d, of=_text_edges):
     return infer.infer(of(s, d), _SYMMETRIC)
 
 
-# The graph of the SQL: edges of the first round as they were validated, the second round's additions, one round of inference ----------
-# The whole graph (all assertions, reviewed and repaired, three rounds of inference) is that of the whole_ queries at the end.
+# The graph of the SQL: the validated edges of all rounds, additions, three rounds of inference ---------------------------------------
+# The reviewed, merged and repaired graph is that of the whole_ queries at the end.
 
-_TRIPLES = f"""{_ADDED}, {_rules_sql(infer.RULES, 1)},
+_TRIPLES = f"""{_ADDED}, {_rules_sql(infer.RULES, 3)},
 triples AS (SELECT {_K}, CAST(votes AS BIGINT) AS votes, 'text' AS source, evidence FROM cand UNION ALL SELECT {_K}, 0, 'model', NULL FROM added UNION ALL SELECT {_K}, NULL, 'inferred', NULL FROM inferred)"""
 _GRAPH = f"{_TEXT}, {_TRIPLES}"
 
@@ -749,7 +749,7 @@ def _triples(s, d):
     none = F.lit(None).cast("string").alias("evidence")
     t = text.select(*aggregate.KEY, F.col("votes").cast("long").alias("votes"), F.lit(graph.TEXT).alias("source"), "evidence")
     m = _additions(s, d, text).select(*aggregate.KEY, F.lit(0).cast("long").alias("votes"), F.lit(graph.MODEL).alias("source"), none)
-    i = infer.infer(text, _SYMMETRIC, rounds=1).select(*aggregate.KEY, F.lit(None).cast("long").alias("votes"), F.lit(graph.INFERRED).alias("source"), none)
+    i = infer.infer(text, _SYMMETRIC).select(*aggregate.KEY, F.lit(None).cast("long").alias("votes"), F.lit(graph.INFERRED).alias("source"), none)
     return t.unionByName(m).unionByName(i)
 
 
@@ -1107,7 +1107,7 @@ def _chain(s, d):
     from loomgraph.plans.pipeline import Pipeline
 
     p = Pipeline(_relations(s, d), table(s, d, "entity"), table(s, d, "relation_spec"), merge_map=table(s, d, "merge_map"))
-    p.proposals = _relations(s, d).where("round = 2").select(F.col("assertion_id").alias("id"), "book", "head", strip_all(F.col("relation")).alias("relation"), "tail", F.col("evidence").alias("reason"))
+    p.proposals = _relations(s, d).select(F.col("assertion_id").alias("id"), "book", "head", strip_all(F.col("relation")).alias("relation"), "tail", F.col("evidence").alias("reason"))
     p.verdicts = _verdicts(p.candidates())
     return p
 
@@ -1120,8 +1120,7 @@ def replay(s: SparkSession, d: str) -> DataFrame:
 QUERIES["replay"] = replay
 
 
-# The same queries over the whole graph: all assertions, the reviewed and functionally resolved text layer, three rounds of inference.
-# They have no SQL; those above keep to the graph that theirs states.
+# The same queries over the finished graph: the reviewed, merged and functionally resolved text layer.  They have no SQL.
 
 
 def _whole_text(s, d):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.operators.aggregate import KEY
+from loomgraph.operators.aggregate import KEY, merged
 from loomgraph.operators.registry import alias_index, name_forms, resolve
 from loomgraph.operators.validate import mentions, relation_spec
 
@@ -57,11 +57,9 @@ def apply(judged: DataFrame) -> DataFrame:
     All outcomes are decided before any flip, so that the result depends on no order.
     """
     flip = F.col("outcome") == "flip"
-    e = judged.where("outcome <> 'reject'").select(
-        "book", F.when(flip, F.col("tail")).otherwise(F.col("head")).alias("head"), "relation", F.when(flip, F.col("head")).otherwise(F.col("tail")).alias("tail"), "votes", "mentions", "seq", "evidence", "outcome"
-    )
-    first = F.struct(F.when(F.col("outcome") == "flip", 1).otherwise(0), "seq")
-    return e.groupBy(*KEY).agg(F.sum("votes").alias("votes"), F.sum("mentions").alias("mentions"), F.min("seq").alias("seq"), F.min_by("evidence", first).alias("evidence"), F.min_by("outcome", first).alias("outcome"))
+    others = [c for c in judged.columns if c not in (*KEY, "ok", "reason", "why")]
+    e = judged.where("outcome <> 'reject'").select("book", F.when(flip, F.col("tail")).otherwise(F.col("head")).alias("head"), "relation", F.when(flip, F.col("head")).otherwise(F.col("tail")).alias("tail"), *others)
+    return merged(e, F.struct(F.when(F.col("outcome") == "flip", 1).otherwise(0).alias("late"), "seq"))
 
 
 def additions(proposed: DataFrame, edges: DataFrame, entity: DataFrame, spec: DataFrame) -> DataFrame:
@@ -80,6 +78,20 @@ def additions(proposed: DataFrame, edges: DataFrame, entity: DataFrame, spec: Da
     return p.join(edges.select(*KEY), list(KEY), "left_anti")
 
 
+def additions_dropped(proposed: DataFrame, entity: DataFrame, spec: DataFrame) -> DataFrame:
+    """(invalid, unreferenced): numbers of proposals that aren't two registered names of a fitting relation, and of those whose reason doesn't name both."""
+    a = alias_index(entity)
+    p = resolve(resolve(proposed, a, "head", "h"), a, "tail", "t")
+    types = lambda x, n: entity.select("book", F.col("canon").alias(x), F.col("type").alias(n))
+    f = name_forms(a)
+    n = lambda x, y: f.select("book", F.col("canon").alias(x), F.col("names").alias(y))
+    p = p.join(types("h", "ht"), ["book", "h"], "left").join(types("t", "tt"), ["book", "t"], "left").join(relation_spec(spec).select(F.col("name").alias("relation"), "domain", "range"), "relation", "left")
+    p = p.join(n("h", "hn"), ["book", "h"], "left").join(n("t", "tn"), ["book", "t"], "left")
+    valid = F.coalesce((F.col("h") != F.col("t")) & (F.col("domain") == F.col("ht")) & (F.col("range") == F.col("tt")), F.lit(False))
+    named = F.coalesce(mentions(F.col("hn"), F.col("reason")) & mentions(F.col("tn"), F.col("reason")), F.lit(False))
+    return p.agg(F.count_if(~valid).alias("invalid"), F.count_if(valid & ~named).alias("unreferenced"))
+
+
 def batches(edges: DataFrame, most: int = 45) -> DataFrame:
     """(book, entity, key, batch): edges dealt to calls of at most ``most`` edges, whole entities together, the greatest first; an entity above ``most`` has a call of its own.
 

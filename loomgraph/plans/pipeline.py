@@ -38,6 +38,7 @@ class Pipeline:
     merge_map: DataFrame | None = None
     curated: DataFrame | None = None
     config: PipelineConfig = PipelineConfig()
+    symmetric: list[str] | None = None
 
     def validated(self) -> DataFrame:
         return self._once("validated", lambda: validate.validate(self.relations, self.entity, self.spec))
@@ -47,39 +48,60 @@ class Pipeline:
         return self.validated().where("why is not null")
 
     def candidates(self) -> DataFrame:
-        return self._once("candidates", lambda: aggregate.aggregate(aggregate.canonical(self.validated())))
+        def make():
+            rows = aggregate.canonical(self.validated())
+            return aggregate.detailed(aggregate.aggregate(rows), rows)
+
+        return self._once("candidates", make)
 
     def judged(self) -> DataFrame:
         c = self.candidates()
         v = self.verdicts if self.verdicts is not None else c.select(*aggregate.KEY, F.lit(None).cast("boolean").alias("ok"), F.lit("").alias("kind"), F.lit("").alias("reason")).limit(0)
         return review.outcomes(c, v, self.entity, self.spec, self.config.guardrails)
 
+    def _repaired(self, edges: DataFrame) -> DataFrame:
+        """Without curated edges."""
+        return edges if self.curated is None else edges.join(self.curated.select(*aggregate.KEY).distinct(), list(aggregate.KEY), "left_anti")
+
+    def _mapping(self) -> DataFrame | None:
+        return registry.last_wins(self.merge_map.where("book is not null")) if self.config.merge and self.merge_map is not None else None
+
     def text_layer(self) -> DataFrame:
         """Candidates after review, curation, merges and functional repair."""
 
         def make():
-            e = review.apply(self.judged())
-            if self.curated is not None:
-                e = e.join(self.curated.select(*aggregate.KEY).distinct(), list(aggregate.KEY), "left_anti")
-            if self.config.merge and self.merge_map is not None:
-                e = aggregate.remap(e, registry.last_wins(self.merge_map.where("book is not null")), self.spec)
-            return aggregate.resolve_functional(e.select(*aggregate.KEY, "votes", "mentions", "seq", "evidence"), self.spec)
+            e, m = self._repaired(review.apply(self.judged())), self._mapping()
+            if m is not None:
+                e = aggregate.remap(e, m, self.spec)
+            return aggregate.resolve_functional(e, self.spec)
 
         return self._once("text", make)
 
+    def additions(self) -> DataFrame:
+        """(key, reason) of the proposals that no candidate has, rejected ones included: what review took out doesn't come back.  Curated and merged as the text layer."""
+
+        def make():
+            a, m = review.additions(self.proposals, self.candidates(), self.entity, self.spec), self._mapping()
+            a = self._repaired(a).select(*aggregate.KEY, "reason", "id")
+            if m is not None:
+                a = aggregate.mapped(a, m, self.spec)
+            a = a.groupBy(*aggregate.KEY).agg(F.min_by("reason", "id").alias("reason"))
+            return a.join(self.text_layer().select(*aggregate.KEY), list(aggregate.KEY), "left_anti")
+
+        return self._once("additions", make)
+
     def triples(self) -> DataFrame:
-        """All layers; rules see the text layer only."""
+        """All layers: (key, votes, source, evidence, evidence_src, evidences, chapters, pack_ids, review, rule, support, reason); rules see the text layer only."""
 
         def make():
             text = self.text_layer()
-            none = F.lit(None)
-            out = text.select(*aggregate.KEY, F.col("votes").cast("long").alias("votes"), F.lit(graph.TEXT).alias("source"), "evidence", none.cast("string").alias("rule"), none.cast("string").alias("support"))
+            layer = lambda name: F.lit(name).alias("source")
+            out = text.select(*aggregate.KEY, F.col("votes").cast("long").alias("votes"), layer(graph.TEXT), "evidence", "evidence_src", "evidences", "chapters", "pack_ids", F.col("outcome").alias("review"))
             if self.config.additions and self.proposals is not None:
-                a = review.additions(self.proposals, text, self.entity, self.spec)
-                out = out.unionByName(a.select(*aggregate.KEY, F.lit(0).cast("long").alias("votes"), F.lit(graph.MODEL).alias("source")), allowMissingColumns=True)
-            symmetric = [r[0] for r in self.spec.where("symmetric").select("name").limit(10_000).collect()]
+                out = out.unionByName(self.additions().select(*aggregate.KEY, F.lit(0).cast("long").alias("votes"), layer(graph.MODEL), "reason"), allowMissingColumns=True)
+            symmetric = self.symmetric if self.symmetric is not None else [r[0] for r in self.spec.where("symmetric").select("name").collect()]  # names of the schema's relations
             i = infer.infer(text, symmetric, self.config.rules, self.config.rounds)
-            return out.unionByName(i.select(*aggregate.KEY, none.cast("long").alias("votes"), F.lit(graph.INFERRED).alias("source"), "rule", "support"), allowMissingColumns=True)
+            return out.unionByName(i.select(*aggregate.KEY, layer(graph.INFERRED), "rule", "support"), allowMissingColumns=True)
 
         return self._once("triples", make)
 
