@@ -118,6 +118,25 @@ def chapter_range(s, d):
     return structure.chapter_range(table(s, d, "documents"), "10-40").select("doc_id", "book", "chapter")
 
 
+_PACK_BODY = f"""{ORACLE["pack_chapters"].strip().removesuffix("FROM w GROUP BY book, p")}, string_agg(text, chr(10) || chr(10) ORDER BY rn) AS text
+FROM (SELECT w.*, d.text FROM w JOIN (SELECT book, chapter, arg_min(text, doc_id) AS text FROM documents WHERE text IS NOT NULL GROUP BY book, chapter) d USING (book, chapter)) w GROUP BY book, p"""
+
+
+def _packs(s, d):
+    return structure.pack_bodies(table(s, d, "documents"), pack_chapters(s, d))
+
+
+@query(f"SELECT book, pack_id, label, length(text) AS chars, md5(text) AS digest FROM ({_PACK_BODY}) z")
+def pack_bodies(s, d):
+    return _packs(s, d).select("book", "pack_id", "label", F.length("text").alias("chars"), F.md5("text").alias("digest"))
+
+
+@query()
+def chapter_texts(s, d):
+    c = structure.chapter_texts(table(s, d, "documents"))
+    return c.select("doc_id", "index", "title", "number", "start", F.length("body").alias("chars"), F.md5("body").alias("digest"))
+
+
 @query()
 def filter_fallback_split(s, d):
     """The refusing provider of this query refuses texts with left-over markup."""
@@ -250,6 +269,7 @@ def registry_build(s, d):
     return registry.build(table(s, d, "new_entities"))
 
 
+_CLAIMED = "list_append(coalesce(aliases, []), substring(name, 1, 1) || '氏')"
 _CLAIMS = f"""claims AS (SELECT * FROM (SELECT book, {q.strip("a")} AS alias, name, entry_id, pos FROM
   (SELECT book, name, entry_id, unnest(aliases) AS a, generate_subscripts(aliases, 1) - 1 AS pos FROM new_entities WHERE book IS NOT NULL AND name IS NOT NULL) x) y WHERE alias <> '' AND alias <> name),
 owners AS (SELECT book, alias, arg_min(name, (entry_id, pos, name)) AS owner FROM (
@@ -261,9 +281,11 @@ def alias_first_owner(s, d):
     return registry.first_owners(table(s, d, "new_entities"))
 
 
-@query(f"WITH {_CLAIMS} SELECT DISTINCT c.book, c.alias, c.name AS claimant, o.owner FROM claims c JOIN owners o USING (book, alias) WHERE c.name <> o.owner")
+@query(f"WITH {_CLAIMS.replace('unnest(aliases)', f'unnest({_CLAIMED})').replace('generate_subscripts(aliases, 1)', f'generate_subscripts({_CLAIMED}, 1)')} SELECT DISTINCT c.book, c.alias, c.name AS claimant, o.owner FROM claims c JOIN owners o USING (book, alias) WHERE c.name <> o.owner")
 def alias_conflicts(s, d):
-    return registry.alias_conflicts(table(s, d, "new_entities"))
+    """Each report claims its first character with 氏 besides, so that names conflict."""
+    claimed = F.concat(F.coalesce("aliases", F.array().cast("array<string>")), F.array(F.concat(F.substring("name", 1, 1), F.lit("氏"))))
+    return registry.alias_conflicts(table(s, d, "new_entities").withColumn("aliases", claimed))
 
 
 @query(f"""WITH {q.ALIAS} SELECT r.assertion_id, a.canon AS head_canon, b.canon AS tail_canon FROM relations r
@@ -325,6 +347,15 @@ def grounding_filter(s, d):
     return e.groupBy("book").agg(F.count_if("ok").alias("accepted"), F.count_if(~F.col("ok")).alias("rejected"), F.sum(F.when(F.col("ok"), F.col("k")).otherwise(0)).alias("aliases"))
 
 
+@query(f"""WITH schema_lines AS (SELECT string_agg(line, chr(10) ORDER BY line) AS x FROM ({ORACLE["schema_describe"]}) a), names AS (SELECT book, string_agg(line, chr(10) ORDER BY rank) AS x FROM ({ORACLE["registry_topn"]}) b GROUP BY book),
+bodies AS (SELECT * FROM ({_PACK_BODY}) c)
+SELECT p.book, p.pack_id, length(s.x || chr(10) || chr(10) || coalesce(n.x, '') || chr(10) || chr(10) || p.label || chr(10) || chr(10) || p.text) AS chars, md5(s.x || chr(10) || chr(10) || coalesce(n.x, '') || chr(10) || chr(10) || p.label || chr(10) || chr(10) || p.text) AS digest
+FROM bodies p LEFT JOIN names n USING (book), schema_lines s""")
+def extraction_prompts(s, d):
+    p = extract.prompts(_packs(s, d), schema_describe(s, d), registry_topn(s, d))
+    return p.select("book", "pack_id", F.length("prompt").alias("chars"), F.md5("prompt").alias("digest"))
+
+
 _FULL = f"""{_SURNAMES}, c AS (SELECT book, {q.strip("name")} AS name, freq FROM candidate WHERE book IS NOT NULL),
 full0 AS (SELECT book, canon AS f FROM entity WHERE type = '人物' UNION SELECT book, name FROM c WHERE freq >= 1 GROUP BY book, name HAVING sum(freq) >= 2),
 full1 AS (SELECT book, f, {_surname("f")} AS s FROM full0 WHERE regexp_matches(f, '^[一-龥]{{3,4}}$')),
@@ -358,13 +389,19 @@ def affix_pairs(s, d):
     return registry.affix_pairs(n.where("name <> ''")).distinct()
 
 
+_PACK_GROUPS = "pack_groups AS (SELECT min(entry_id) AS group_id, book, list(name ORDER BY entry_id) AS members FROM new_entities WHERE book IS NOT NULL AND name IS NOT NULL GROUP BY book, pack)"
+
+
 @query(f"""
-WITH {q.ALIAS}, m AS (SELECT group_id, book, pos, {q.strip("m")} AS m FROM (SELECT group_id, book, unnest(members) AS m, generate_subscripts(members, 1) AS pos FROM alias_groups) x WHERE m IS NOT NULL),
+WITH {q.ALIAS}, {_PACK_GROUPS}, m AS (SELECT group_id, book, pos, {q.strip("m")} AS m FROM (SELECT group_id, book, unnest(members) AS m, generate_subscripts(members, 1) AS pos FROM pack_groups) x WHERE m IS NOT NULL),
 r AS (SELECT m.group_id, m.book, m.pos, a.canon, a.type FROM m JOIN alias a ON a.book = m.book AND a.name = m.m),
 k AS (SELECT group_id, book, arg_min(canon, pos) AS keep, arg_min(type, pos) AS kt FROM r GROUP BY 1, 2)
 SELECT DISTINCT r.group_id, r.book, r.canon AS "drop", k.keep FROM r JOIN k USING (group_id, book) WHERE r.canon <> k.keep AND r.type = k.kt""")
 def merge_groups_apply(s, d):
-    return registry.merge_groups(table(s, d, "alias_groups"), _alias(s, d))
+    """Groups as a model would name them: the names reported of one pack, in order."""
+    e = table(s, d, "new_entities").where("book is not null and name is not null")
+    g = e.groupBy("book", "pack").agg(F.min("entry_id").alias("group_id"), F.transform(F.array_sort(F.collect_list(F.struct("entry_id", "name"))), lambda x: x["name"]).alias("members"))
+    return registry.merge_groups(g, _alias(s, d))
 
 
 _LAST = "lastmap AS (SELECT book, alias, arg_max(canon, map_id) AS canon FROM merge_map WHERE book IS NOT NULL AND alias <> '' AND canon <> '' AND alias <> canon GROUP BY book, alias)"
@@ -424,9 +461,10 @@ def assertion_dedup(s, d):
     return extract.dedup(_relations(s, d))
 
 
-@query(f"""SELECT assertion_id FROM relations r WHERE NOT (round = 2 AND response_id IN (SELECT response_id FROM relations WHERE round = 2 GROUP BY response_id HAVING count(*) >= 10 AND count(*) > 2 * count(DISTINCT {_E})))""")
+@query(f"""SELECT assertion_id FROM relations r WHERE NOT (round = 1 AND response_id IN (SELECT response_id FROM relations WHERE round = 1 GROUP BY response_id HAVING count(*) >= 10 AND count(*) > 2 * count(DISTINCT {_E})))""")
 def gleaning_loop_guard(s, d):
-    return extract.drop_looping_gleanings(_relations(s, d), 10, 2).select("assertion_id")
+    """The rounds change places here: runaway responses stand in the first one."""
+    return extract.drop_looping_gleanings(_relations(s, d).withColumn("round", 3 - F.col("round")), 10, 2).select("assertion_id")
 
 
 # Validation ---------------------------------------------------------------------------------------------------------------------
@@ -602,6 +640,13 @@ def edges_by_entity(s, d):
     return review.by_entity(_edges(s, d)).groupBy("book", "entity").agg(F.count("*").alias("edges"))
 
 
+@query(f"""{_CAND}, who AS (SELECT book, canon, CASE WHEN identity <> '' THEN '（' || identity || '）' ELSE '' END AS x FROM entity)
+SELECT c.book, c.head, c.relation, c.tail, c.head || coalesce(h.x, '') || ' —' || c.relation || '→ ' || c.tail || coalesce(t.x, '') || ' [' || c.votes || '] ' || c.evidence AS line
+FROM cand c LEFT JOIN who h ON h.book = c.book AND h.canon = c.head LEFT JOIN who t ON t.book = c.book AND t.canon = c.tail""")
+def review_prompts(s, d):
+    return review.prompt_rows(_edges(s, d), table(s, d, "entity"))
+
+
 @query()
 def review_batches(s, d):
     return review.batches(cut(_edges(s, d)))
@@ -1044,15 +1089,15 @@ def usage_sessions(s, d):
     return usage.sessions(_events(s, d))
 
 
-@query()
+@query(f"""SELECT book, {q.strip("head")} AS head, {q.strip("relation")} AS relation, {q.strip("tail")} AS tail, count(*) AS mentions, count(DISTINCT {q.squeeze("coalesce(evidence, '')")}) AS votes
+FROM relations WHERE head IS NOT NULL AND relation IS NOT NULL AND tail IS NOT NULL GROUP BY 1, 2, 3, 4""")
 def incremental_votes(s, d):
-    """Votes kept by a stream over the assertions' files."""
-    path = f"{d}/relations.parquet"
-    schema = s.read.parquet(path).schema
-    name = "incremental_votes"
-    stream = incremental.incremental_votes(s, path, schema, name, f"{shared_folder(s).rstrip('/')}/{name}-{uuid.uuid4().hex}")
-    stream.awaitTermination()
-    return s.table(name)
+    """Exact votes of a stream over several files of assertions, a batch for each file."""
+    at = f"{shared_folder(s).rstrip('/')}/loomgraph/incremental-{uuid.uuid4().hex}"
+    r = _relations(s, d)
+    r.repartition(3).write.parquet(f"{at}/in")
+    incremental.append_votes(s, f"{at}/in", r.schema, f"{at}/state", f"{at}/checkpoint").awaitTermination()
+    return incremental.read_votes(s, f"{at}/state").select("book", "head", "relation", "tail", "mentions", "votes")
 
 
 @query("""SELECT book, name, is_primary FROM (SELECT book, name, suffix(name, 'full') AS is_primary, row_number() OVER (PARTITION BY book ORDER BY suffix(name, 'full') DESC, CASE WHEN suffix(name, 'full') THEN name END DESC NULLS LAST, name) AS k

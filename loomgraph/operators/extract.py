@@ -18,6 +18,17 @@ def pack_yield(relations: DataFrame, packs: DataFrame, low: float, least_chars:
     return d.select("book", "pack", "triples", "chars", F.round(density, 4).alias("density"), ((density < low) & (F.col("chars") >= least_chars)).alias("low"))
 
 
+def prompts(packs: DataFrame, described: DataFrame, registry: DataFrame) -> DataFrame:
+    """(book, pack_id, prompt): the schema's lines, the lines of the book's registry, and the text of a pack (book, pack_id, label, text).
+
+    The schema is a bounded list; ``registry`` (book, rank, line) is a top of each book.
+    """
+    schema = described.agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("schema"))  # one row
+    names = registry.groupBy("book").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]), "\n").alias("names"))
+    p = packs.join(names, "book", "left").join(F.broadcast(schema))
+    return p.select("book", "pack_id", F.concat_ws("\n\n", "schema", F.coalesce("names", F.lit("")), "label", "text").alias("prompt"))
+
+
 def loops(relations: DataFrame, key: str = "response_id", least: int = 30, times: int = 3) -> DataFrame:
     """(key, n, triples, texts) of units that say far more rows than distinct triples or quotations."""
     e = F.coalesce(strip_all(F.col("evidence")), F.lit(""))

@@ -92,6 +92,14 @@ def additions_dropped(proposed: DataFrame, entity: DataFrame, spec: DataFrame) -
     return p.agg(F.count_if(~valid).alias("invalid"), F.count_if(valid & ~named).alias("unreferenced"))
 
 
+def prompt_rows(edges: DataFrame, entity: DataFrame) -> DataFrame:
+    """(key, line): what a reviewer is shown of each edge, the votes, the best quotation and who its ends are."""
+    who = lambda c: entity.select("book", F.col("canon").alias(c), F.when(F.col("identity") != "", F.concat(F.lit("（"), "identity", F.lit("）"))).otherwise("").alias(f"{c}_is"))
+    e = edges.join(who("head"), ["book", "head"], "left").join(who("tail"), ["book", "tail"], "left")
+    line = F.concat("head", F.coalesce("head_is", F.lit("")), F.lit(" —"), "relation", F.lit("→ "), "tail", F.coalesce("tail_is", F.lit("")), F.lit(" ["), F.col("votes").cast("string"), F.lit("] "), "evidence")
+    return e.select(*KEY, line.alias("line"))
+
+
 def batches(edges: DataFrame, most: int = 45) -> DataFrame:
     """(book, entity, key, batch): edges dealt to calls of at most ``most`` edges, whole entities together, the greatest first; an entity above ``most`` has a call of its own.
 

@@ -88,6 +88,41 @@ def pack_chapters(chapter_sizes: DataFrame, per_call: int, max_chars: int) -> Da
     return p.select("book", F.format_string("p%03d", "p.n").alias("pack_id"), F.col("p.all").alias("chapters"), "p.chars", label.alias("label"))
 
 
+def split_text(text: Column) -> Column:
+    """Chapters of one text as an array of (title, number, body, start): the headings that continue the count part it, what stands before the first
+    is dropped, a text without a heading is one chapter.  Headings that don't continue the count stay in the body."""
+    kind = "array<struct<title:string,number:int,body:string,start:int>>"
+    acc0 = F.struct(F.lit(None).cast("int").alias("next"), F.lit(0).alias("pos"), F.array().cast(kind).alias("out"))
+    one = lambda title, number, body, start: F.array(F.struct(title.alias("title"), number.cast("int").alias("number"), body.alias("body"), start.cast("int").alias("start")))
+
+    def step(acc: Column, piece: Column) -> Column:
+        heading = F.regexp_extract(piece, HEADING, 0)
+        title = strip_all(heading)
+        number = heading_number(title)
+        keep = (heading != "") & (number.isNull() | acc["next"].isNull() | (number == acc["next"]))
+        last = F.try_element_at(acc["out"], F.lit(-1))
+        grown = F.concat(F.slice(acc["out"], 1, F.greatest(F.size(acc["out"]) - 1, F.lit(0))), one(last["title"], last["number"], F.concat(last["body"], piece), last["start"]))
+        out = F.when(keep, F.concat(acc["out"], one(title, number, F.substr(piece, F.length(heading) + 1), acc["pos"]))).when(last.isNull(), acc["out"]).otherwise(grown)
+        return F.struct(F.when(keep & number.isNotNull(), number + 1).otherwise(acc["next"]).alias("next"), (acc["pos"] + F.length(piece)).alias("pos"), out.alias("out"))
+
+    found = F.aggregate(F.split(text, HEADING.replace("(?dm)", "(?dm)(?=") + ")"), acc0, step, lambda a: a["out"])
+    return F.when(F.size(found) > 0, found).otherwise(one(F.lit(""), F.lit(None), text, F.lit(0)))
+
+
+def chapter_texts(documents: DataFrame) -> DataFrame:
+    """(doc_id, index, title, number, start, body) of every text."""
+    d = documents.where("text is not null").select("doc_id", F.posexplode(split_text(F.col("text"))).alias("i", "c"))
+    return d.select("doc_id", (F.col("i") + 1).alias("index"), "c.title", "c.number", "c.start", strip_all(F.col("c.body")).alias("body"))
+
+
+def pack_bodies(documents: DataFrame, packs: DataFrame) -> DataFrame:
+    """(book, pack_id, label, text): texts of a pack's chapters in order, parted by an empty line; ``packs`` as of :func:`pack_chapters`, which bounds their number."""
+    c = documents.where("book is not null and chapter is not null and text is not null").groupBy("book", "chapter").agg(F.min_by("text", "doc_id").alias("text"))
+    p = packs.select("book", "pack_id", "label", F.explode(F.transform(F.split("chapters", ","), lambda x: x.cast("int"))).alias("chapter"))
+    g = p.join(c, ["book", "chapter"]).groupBy("book", "pack_id", "label").agg(F.array_sort(F.collect_list(F.struct("chapter", "text"))).alias("t"))
+    return g.select("book", "pack_id", "label", F.array_join(F.transform("t", lambda x: x["text"]), "\n\n").alias("text"))
+
+
 def sentences(documents: DataFrame) -> DataFrame:
     """(doc_id, pos, sentence), from 1."""
     s = F.filter(F.transform(F.split("text", SENTENCE_END), strip_all), lambda x: x != "")

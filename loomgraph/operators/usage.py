@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def append(calls: DataFrame, path: str) -> None:
+    """Adds calls to a usage log, a folder for each day, so that reports read the days they need."""
+    calls.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").parquet(path)
+
+
 def last_hours(events: DataFrame, hours: int = 5) -> DataFrame:
     """(calls, amount) in the trailing window from the newest event."""
     newest = events.agg(F.max("ts").alias("now"))  # one row

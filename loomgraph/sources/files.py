@@ -63,6 +63,13 @@ def run_path(root: str, name: str) -> str:
     return f"{root.rstrip('/')}/{name}"
 
 
+def write_export(triples: DataFrame, registry: DataFrame, summary: DataFrame, path: str) -> None:
+    """The three parts of a finished run as line-wise JSON: triples in the order of an export, registry and summary."""
+    export(triples).write.mode("overwrite").json(f"{path}/triples")
+    registry.orderBy("book", "canon").write.mode("overwrite").json(f"{path}/registry")
+    summary.write.mode("overwrite").json(f"{path}/summary")
+
+
 def export(triples: DataFrame) -> DataFrame:
     """Triples in the order of an export: most votes first, then head, relation, tail."""
     return triples.orderBy(F.desc("votes"), "book", "head", "relation", "tail")

@@ -92,6 +92,6 @@ def test_streams(spark, tmp_path):
     q = incremental.append_votes(spark, str(tmp_path / "in"), r.schema, str(tmp_path / "state"), str(tmp_path / "c1"))
     q.awaitTermination()
     assert [(x.mentions, x.votes) for x in incremental.read_votes(spark, str(tmp_path / "state")).collect()] == [(3, 2)]
-    q = incremental.incremental_votes(spark, str(tmp_path / "in"), r.schema, "votes_test", str(tmp_path / "c2"))
+    q = incremental.about_votes(spark, str(tmp_path / "in"), r.schema, "votes_test", str(tmp_path / "c2"))
     q.awaitTermination()
     assert [x.mentions for x in spark.table("votes_test").collect()] == [3]

@@ -72,3 +72,13 @@ def test_fallback_pieces_cover_the_text(spark):
     assert sum(r.chars for r in got if r.doc_id == 1) == len(text)
     assert {r.status for r in got if r.doc_id == 2} == {"accepted"}
     assert sum(r.status == "skipped" for r in got) == 1 and max(r.depth for r in got) == 2
+
+
+def test_texts_are_split_at_headings_that_continue_the_count(spark):
+    texts = ["序言\n第1回 起\n甲。\n第7章 假\n乙。\n第2回 承\n丙。", "没有标题。", "第三回 中\n丁。第四回不在行首。\n第四回 后\n", "", None]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = [tuple(r) for r in structure.chapter_texts(d).orderBy("doc_id", "index").collect()]
+    assert got == [
+        (0, 1, "第1回 起", 1, 3, "甲。\n第7章 假\n乙。"), (0, 2, "第2回 承", 2, texts[0].index("第2回"), "丙。"), (1, 1, "", None, 0, "没有标题。"),
+        (2, 1, "第三回 中", 3, 0, "丁。第四回不在行首。"), (2, 2, "第四回 后", 4, texts[2].rindex("第四回"), ""), (3, 1, "", None, 0, ""),
+    ]
