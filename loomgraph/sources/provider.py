@@ -10,8 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_CLOSERS = ('"}]}', "}]}", "]}", "}", '"]}')
-
 
 def call_key(model: str, payload: Column) -> Column:
     """Address of a call's answer."""
@@ -39,31 +37,49 @@ def fill(misses: DataFrame, ask: Callable[[str], str]) -> DataFrame:
     return misses.select("key", "payload").mapInPandas(run, "key string, answer string")
 
 
-def salvage(text: str | None, most: int = 40) -> str | None:
+def _ends(body: str) -> tuple[list[tuple[int, str]], str]:
+    """Places where a value inside the object has just ended, each with the brackets still open there, and what closes the whole text; one pass."""
+    stack, out, quoted, escaped = [], [], False, False
+    for i, c in enumerate(body):
+        if quoted:
+            escaped, quoted = (c == "\\" and not escaped), (c != '"' or escaped)
+        elif c == '"':
+            quoted = True
+        elif c in "{[":
+            stack.append("}" if c == "{" else "]")
+            out.append((i + 1, "".join(reversed(stack))))
+        elif c in "}]" and stack:
+            stack.pop()
+            out.append((i + 1, "".join(reversed(stack))))
+        elif c == ",":
+            out.append((i, "".join(reversed(stack))))
+    return out, '"' * quoted + "".join(reversed(stack))
+
+
+def salvage(text: str | None) -> str | None:
     """The JSON object in an answer: without fences and talk around it, and cut back to the last place where a truncated one can be closed."""
-    if not text:
-        return None
-    start = text.find("{")
+    start = text.find("{") if text else -1
     if start < 0:
         return None
-    body = text[start:]
+    body, decode = text[start:], json.JSONDecoder().raw_decode
     try:
-        end = body.rfind("}")
-        return json.dumps(json.loads(body[: end + 1]), ensure_ascii=False, sort_keys=True)
+        return json.dumps(decode(body)[0], ensure_ascii=False, sort_keys=True)
     except ValueError:
         pass
-    at = len(body)
-    for _ in range(most):
-        for c in _CLOSERS:
-            try:
-                return json.dumps(json.loads(body[:at] + c), ensure_ascii=False, sort_keys=True)
-            except ValueError:
-                continue
-        cut = max(body.rfind(c, 0, at) for c in ",{[}]")
-        if cut <= 0:
+    ends, rest = _ends(body)
+    tried, at = body + rest, len(body)
+    while True:
+        try:
+            return json.dumps(decode(tried)[0], ensure_ascii=False, sort_keys=True)
+        except json.JSONDecodeError as e:
+            # What stands before the error can be closed; so goes on from the last end before it.
+            at = min(at - 1, e.pos)
+        while ends and ends[-1][0] > at:
+            ends.pop()
+        if not ends:
             return None
-        at = cut
-    return None
+        at, close = ends[-1]
+        tried = body[:at] + close
 
 
 @F.pandas_udf(T.StringType())

@@ -33,6 +33,9 @@ def test_salvage():
     assert provider.salvage('```json\n{"a": 1}\n```') == '{"a": 1}'
     assert json.loads(provider.salvage('{"relations": [{"a": 1}, {"b": "x')) == {"relations": [{"a": 1}, {"b": "x"}]}
     assert json.loads(provider.salvage('说明：{"a": [1, 2')) == {"a": [1, 2]}
+    whole = json.dumps({"relations": [{"h": "甲", "t": [1, 2, {"z": "q,}"}]} for _ in range(20)]}, ensure_ascii=False)
+    assert all(provider.salvage(whole[:i]) is not None for i in range(1, len(whole) + 1)) and json.loads(provider.salvage(whole[:-9]))["relations"][18]["h"] == "甲"
+    assert json.loads(provider.salvage('{"a": [' + "1, " * 50_000)) == {"a": [1] * 50_000} and provider.salvage('{"a": 1} 说明}') == '{"a": 1}'
     assert provider.salvage("no") is None and provider.salvage(None) is None and provider.salvage("") is None
 
 
