@@ -281,8 +281,9 @@ def test_phrases_are_learned_from_labels(spark):
     docs = [(i, "".join(filler() for _ in range(4)) + ("城门落了闸。" if i % 3 == 0 else "The last note died." if i % 3 == 1 else "城门开了。")) for i in range(90)]
     d = spark.createDataFrame(docs, "doc_id long, text string")
     labels = spark.createDataFrame([(i, {0: "warfare", 1: "arts", 2: "trade"}[i % 3], "a") for i in range(60)] + [(77, None, "a"), (None, "law", "b")], "doc_id long, subject string, annotator string")
-    got = set(subjects.learned(d, labels, subjects.Lexicon()))
-    assert ("warfare", "落了闸") in got and ("arts", "last note died") in got and not any("城门落" != p and p == "城门" for _, p in got)
+    got = {(s, p) for s, p, trust in subjects.learned(d, labels, subjects.Lexicon()) if 0.1 < trust <= 1}
+    assert any(s == "warfare" and p in "城门落了闸" for s, p in got) and any(s == "arts" and p in "the last note died" for s, p in got)
+    assert not any(s == "warfare" and p not in "城门落了闸" for s, p in got)
     by = {(r.doc_id, r.subject) for r in subjects.found(d, labels=labels).collect()}
     assert {(i, "warfare" if i % 3 == 0 else "arts") for i in range(60, 90) if i % 3 < 2} <= by
     assert subjects.learned(d, labels.limit(0), subjects.Lexicon()) == []
