@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm import leakage, packing, shingles, subjects
@@ -289,6 +290,45 @@ def test_phrases_are_learned_from_labels(spark):
     assert subjects.learned(d, labels.limit(0), subjects.Lexicon()) == []
 
 
+def test_every_label_calibrates(spark):
+    """The 60,000 documents of the largest hashes outweigh the first 60,000."""
+    late = F.row_number().over(Window.orderBy(F.xxhash64("doc_id"))) > 60_000
+    d = spark.range(120_000).withColumnRenamed("id", "doc_id").withColumn("late", late)
+    scored = d.select("doc_id", F.lit("warfare").alias("subject"), F.when(F.col("late"), 21).otherwise(60).alias("about"), F.lit(100).alias("own"))
+    truth = d.select("doc_id", F.when(F.col("late"), "court").otherwise("warfare").alias("subject"), F.lit("a").alias("annotator"))
+    got = subjects.calibrate(scored, truth, ["warfare", "court"])
+    assert 0.21 < got["warfare"] <= 0.25 and got["court"] == 0.2
+    none = spark.createDataFrame([(None, "warfare", "a")], "doc_id long, subject string, annotator string")
+    assert subjects.calibrate(scored, none, ["warfare"]) == {"warfare": 0.2} and subjects.clean_labels(none, ["warfare"]).count() == 0
+
+
+def test_phrases_are_learned_from_every_label(spark):
+    """The phrase stands only in the labelled documents of the largest hashes."""
+    late = F.row_number().over(Window.orderBy(F.xxhash64("doc_id"))) > 3_000
+    d = spark.range(3_100).select(F.col("id").alias("doc_id")).withColumn("late", late)
+    texts = d.select("doc_id", F.when(F.col("late"), "城门落了闸。").otherwise("起风了。").alias("text"))
+    labels = d.select("doc_id", F.when(F.col("late"), "warfare").otherwise("arts").alias("subject"), F.lit("a").alias("annotator"))
+    assert any(s == "warfare" and p in "城门落了闸" for s, p, _ in subjects.learned(texts, labels, subjects.Lexicon()))
+
+
+def test_every_phrase_that_tells_is_kept(spark):
+    """10,500 pairs of words, each in five documents of its own."""
+    word = lambda n: "q" + "".join(chr(97 + n // 26**k % 26) for k in range(4))
+    docs = [(5 * k + i, " ".join(f"{word(j)} {word(j + 200_000)}." for j in range(100 * k, 100 * k + 100))) for k in range(105) for i in range(5)]
+    texts = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = texts.select("doc_id", F.element_at(F.array(*map(F.lit, ("warfare", "arts", "trade"))), (F.floor(F.col("doc_id") / 5) % 3 + 1).cast("int")).alias("subject"), F.lit("a").alias("annotator"))
+    got = {p for _, p, _ in subjects.learned(texts, labels, subjects.Lexicon())}
+    assert got == {f"{word(j)} {word(j + 200_000)}" for j in range(10_500)}
+
+
+def test_many_learned_phrases_leave_curated_terms_their_weight(spark):
+    rare = ["".join(chr(0x5100 + i // 20**k % 20) for k in range(3)) for i in range(400)]
+    d = spark.createDataFrame([(i, f"云梯在此。{w}。起风了。") for i, w in enumerate(rare)], "doc_id long, text string")
+    lex = subjects.Lexicon(phrases=[("arts", w, 0.2) for w in rare])
+    assert {tuple(r) for r in subjects.found(d, lex=lex).collect()} == {(i, "warfare") for i in range(400)}
+    assert all(lex.weight[i] <= 0.2 for i in lex.learned) and len(lex.learned) == 400
+
+
 def test_common_entries_do_not_decide_alone(spark):
     docs = [(i, "渡口有货栈。起风了。") for i in range(200)] + [(1000 + i, f"{w}在此。起风了。") for i, w in enumerate("云梯 奏折 嫁妆 供词 药方 经卷 琴谱 秧苗 烽烟 诏书".split() * 2)]
     d = spark.createDataFrame(docs, "doc_id long, text string")
